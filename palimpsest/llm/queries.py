@@ -4,14 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, spans
+from palimpsest.llm import bpe, leaks, seen, spans, survivors
 from palimpsest.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.version_survivors(table(spark, folder, "version_log")).select("first_seq", "val_seq", "writer_seq")
+
+
+def p1_currency(spark: SparkSession, folder: str) -> DataFrame:
+    found = survivors.version_survivors(table(spark, folder, "version_log"), "currency")
+    return found.select("first_seq", "n_rows", "val_seq", "val_by", "writer_seq", "writer_by")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return seen.seen_before(table(spark, folder, "incoming_puts"), table(spark, folder, "version_log"))
+
+
+def p2_error_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return seen.error_report(table(spark, folder, "incoming_puts"), table(spark, folder, "version_log"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_column(table(spark, folder, "documents"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_reparameterised(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.reparameterised_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "eval_items")
+    return leaks.leak_report(leaks.leaked_items(table(spark, folder, "documents"), items), items)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_spans(table(spark, folder, "documents"))
 
@@ -21,6 +51,25 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(spans.shared_spans(docs), docs)
 
 
-QUERIES = {"p6_ids": p6_ids, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_currency": p1_currency,
+    "p2_found": p2_found,
+    "p2_error_rates": p2_error_rates,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_reparameterised": p7_reparameterised,
+    "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_share": p8_share,
+}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p2_found": """
+WITH k AS (
+  SELECT in_id, coalesce(ns, 0) AS n, regexp_replace(hex(key), '(00|20)+$', '') AS k FROM incoming_puts WHERE key IS NOT NULL),
+f AS (SELECT *, min(in_id) OVER (PARTITION BY n, k) AS first FROM k),
+l AS (SELECT DISTINCT coalesce(ns, 0) AS n, regexp_replace(hex(key), '(00|20)+$', '') AS k FROM version_log WHERE key IS NOT NULL)
+SELECT in_id FROM f WHERE in_id > first OR EXISTS (SELECT 1 FROM l WHERE l.n = f.n AND l.k = f.k)
+""",
+}
