@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, leaks, seen, spans, survivors
+from palimpsest.llm import bpe, leaks, packing, seen, spans, survivors
 from palimpsest.sources.tables import table
 
 
@@ -25,6 +25,14 @@ def p2_error_rates(spark: SparkSession, folder: str) -> DataFrame:
     return seen.error_report(table(spark, folder, "incoming_puts"), table(spark, folder, "version_log"))
 
 
+def p5_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.repack(table(spark, folder, "blocks"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packing_report(packing.repack(table(spark, folder, "blocks")))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_column(table(spark, folder, "documents"))
 
@@ -56,6 +64,8 @@ QUERIES = {
     "p1_currency": p1_currency,
     "p2_found": p2_found,
     "p2_error_rates": p2_error_rates,
+    "p5_blocks": p5_blocks,
+    "p5_report": p5_report,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_reparameterised": p7_reparameterised,
