@@ -3,7 +3,8 @@
 Sum-of-squares packing: every open block has a residual gap, and an item goes where the sum,
 over all gaps, of the squared number of open blocks with that gap becomes smallest; among
 equal choices into the fullest block, and into a new block only if that is smaller still.
-Items come longest first. An item longer than a block's payload is the only one that is cut:
+Items come longest first; a small segment that so misses the least possible number of blocks
+is packed in some orders near that one too, and the best is kept. An item longer than a block's payload is the only one that is cut:
 its full pieces take blocks of their own and its rest is packed like any other item.
 
 A segment's entries are packed in one task up to ``PART_ITEMS`` entries or ``PART_BYTES``
@@ -33,6 +34,9 @@ ENTRY_BYTES = OFFSET_BYTES + FLAG_BYTES
 CAPACITY = MAX_PAYLOAD + ENTRY_BYTES
 PART_ITEMS = 20_000
 PART_BYTES = 16_000_000
+#: Orders tried for a part, and items placed in all of them.
+TRIES = 60
+TRIED_ITEMS = 20_000
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -67,6 +71,37 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return where, made
 
 
+def least_bins(sizes: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins: a bound from the sizes' sum, and from the items of which two
+    never share a bin along with what does not fit beside the largest of them."""
+    bound = -(-int(sizes.sum()) // capacity)
+    for small in {0, *np.unique(sizes[sizes <= capacity // 2]).tolist()}:
+        alone = sizes > capacity - small
+        half = (sizes > capacity // 2) & ~alone
+        rest = sizes[(sizes <= capacity // 2) & (sizes >= small)].sum()
+        free = half.sum() * capacity - sizes[half].sum()
+        bound = max(bound, int(alone.sum() + half.sum() + max(0, -(-(rest - free) // capacity))))
+    return bound
+
+
+def best_order(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """``(order, bin of each in that order, bins)``: longest first and, where that misses the bound
+    of :func:`least_bins`, also orders near it, fewer of them the more items there are."""
+    tries = int(min(TRIES, max(1, TRIED_ITEMS // max(len(sizes), 1))))
+    best, bound = None, None
+    rng = np.random.default_rng(len(sizes))
+    for t in range(tries):
+        order = np.argsort(-sizes * (rng.uniform(1 - t / tries / 2, 1, len(sizes)) if t else 1.0), kind="stable")
+        where, made = sum_of_squares(sizes[order], capacity)
+        if best is None or made < best[2]:
+            best = (order, where, made)
+        if tries > 1:
+            bound = least_bins(sizes, capacity) if bound is None else bound
+            if best[2] <= bound:
+                break
+    return best
+
+
 def cut(length: int) -> list[tuple[int, int, int]]:
     """``(start, end, flag)`` of the pieces of an entry of so many bytes."""
     if length <= MAX_PAYLOAD:
@@ -79,8 +114,7 @@ def pack(payloads: list[bytes]) -> list[list[tuple[int, int, int]]]:
     """Blocks as lists of ``(payload, piece, flag)``, each in the order of the entries."""
     pieces = [(i, k, end - start, flag) for i, p in enumerate(payloads) for k, (start, end, flag) in enumerate(cut(len(p)))]
     sizes = np.array([n + ENTRY_BYTES for _, _, n, _ in pieces], dtype=np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    where, made = sum_of_squares(sizes[order], CAPACITY)
+    order, where, made = best_order(sizes, CAPACITY)
     blocks: list[list[tuple[int, int, int]]] = [[] for _ in range(made)]
     for j, b in sorted(zip(order.tolist(), where.tolist())):
         i, k, _, flag = pieces[j]
