@@ -15,11 +15,20 @@ from pyspark.sql import functions as F
 SLICES = 256
 
 
-def sliced(rows: DataFrame, order: str, slices: int = SLICES) -> DataFrame:
-    """``rows`` with ``_slice``, ascending with the bigint column ``order``; a null order is slice -1."""
-    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+def extremes(rows: DataFrame, order: str) -> tuple[int | None, int | None]:
+    """The least and greatest of a bigint column, for :func:`sliced`."""
+    return tuple(rows.agg(F.min(order), F.max(order)).first())
+
+
+def sliced(rows: DataFrame, order: str, slices: int = SLICES, within: tuple[int | None, int | None] | None = None) -> DataFrame:
+    """``rows`` with ``_slice``, ascending with the bigint column ``order``; a null order is in slice -1.
+
+    The slices divide the range ``within``, by default that of the rows; what lies beyond it is cut on
+    in the same width.
+    """
+    lo, hi = within or extremes(rows, order)
     width = 1 if lo is None else (hi - lo) // slices + 1
-    return rows.withColumn("_slice", F.coalesce(F.expr(f"cast((`{order}` - {lo or 0}) div {width} as int)"), F.lit(-1)))
+    return rows.withColumn("_slice", F.coalesce(F.expr(f"(`{order}` - {lo or 0}) div {width}"), F.lit(-1).cast("long")))
 
 
 def running_sum(
@@ -42,13 +51,15 @@ def running_sum(
     return local.join(parts, on).withColumn(name, F.col("_local") + F.col("_before")).drop("_v", "_s", "_slice", "_ks", "_before", "_local", *(f"_k{i}" for i in range(len(keys))))
 
 
-def islands(ranges: DataFrame, start: str, end: str, slices: int = SLICES) -> DataFrame:
+def islands(
+    ranges: DataFrame, start: str, end: str, slices: int = SLICES, within: tuple[int | None, int | None] | None = None
+) -> DataFrame:
     """``(start, end)`` of the unions of ranges that touch or overlap, however many in a row.
 
     Ranges that are null on a side, empty or inverted are left out.
     """
     flat = ranges.select(F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end")).filter("start < end")
-    cut = sliced(flat, "start", slices)
+    cut = sliced(flat, "start", slices, within)
     inner = Window.partitionBy("_slice").orderBy("start", "end")
     before = Window.partitionBy(F.lit(1)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     reach = cut.groupBy("_slice").agg(F.max("end").alias("_m")).select("_slice", F.max("_m").over(before).alias("_reach"))
@@ -66,9 +77,13 @@ def islands(ranges: DataFrame, start: str, end: str, slices: int = SLICES) -> Da
 
 def gaps(ranges: DataFrame, lo: int, hi: int, start: str = "start", end: str = "end", slices: int = SLICES) -> DataFrame:
     """``(start, end)`` of what ``ranges`` leave free of ``[lo, hi)``."""
-    edge = ranges.sparkSession.createDataFrame([(lo - 1, lo), (hi, hi + 1)], "start long, end long")
-    inside = ranges.select(F.col(start).alias("start"), F.col(end).alias("end")).filter((F.col("end") > lo) & (F.col("start") < hi))
-    solid = sliced(islands(inside.unionByName(edge), "start", "end", slices), "start", slices)
+    flat = ranges.select(F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"))
+    inside = flat.filter((F.col("end") > lo) & (F.col("start") < hi))
+    within = extremes(inside, "start")
+    edges = ranges.sparkSession.range(2).select(
+        F.when(F.col("id") == 0, lo - 1).otherwise(hi).cast("long").alias("start"), F.when(F.col("id") == 0, lo).otherwise(hi + 1).cast("long").alias("end")
+    )
+    solid = sliced(islands(inside.unionByName(edges), "start", "end", slices, within), "start", slices, within)
     inner = Window.partitionBy("_slice").orderBy("start")
     after = Window.partitionBy(F.lit(1)).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
     following = solid.groupBy("_slice").agg(F.min("start").alias("_m")).select("_slice", F.min("_m").over(after).alias("_next"))
