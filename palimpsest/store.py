@@ -9,6 +9,7 @@ seen. Reads are plans over all runs and the unsynced rows.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Any
@@ -309,8 +310,8 @@ class Store:
 
     def _add_run(self, rows: DataFrame) -> None:
         src = self._state["next_src"]
-        name = f"runs/{src:08d}-{self._manifest.number + 1:012d}"
-        writer = merging.sorted_run(rows.withColumn("src", F.lit(src)).select(*COLUMNS)).write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true")
+        name = f"runs/{src:08d}-{uuid.uuid4().hex}"
+        writer = merging.sorted_run(rows.withColumn("src", F.lit(src)).select(*COLUMNS)).write.option("parquet.bloom.filter.enabled#key", "true")
         if self.options.records_per_file:
             writer = writer.option("maxRecordsPerFile", self.options.records_per_file)
         writer.parquet(f"{self.path}/{name}")
