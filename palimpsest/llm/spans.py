@@ -2,7 +2,8 @@
 
 Content-defined chunking with a gear rolling hash: every window of ``length`` characters has
 its lowest gear hash (over ``GRAM`` characters) among its first ``reach`` grams as anchor, and
-its chunk runs from there to the end of the next anchor's gram, known by a 64-bit digest.
+its chunk runs from there to the end of the next anchor's gram, or on to the least length that
+every window with this anchor holds, known by a 64-bit digest.
 Both depend on the window's own characters only, since 2 * reach + GRAM <= length, so an
 insertion changes no chunk beyond it, and equal windows have equal chunks.
 
@@ -118,7 +119,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def chunk_texts(docs: DataFrame, length: int, reach: int) -> DataFrame:
-    """One row per chunk of every text: digest, digest of its surroundings, text, and place."""
+    """One row per chunk of every text: digest, digest of its surroundings, text, and its windows."""
+    least = length - reach + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -137,7 +139,8 @@ def chunk_texts(docs: DataFrame, length: int, reach: int) -> DataFrame:
                 d = Digester(points, 0)
                 a, b, lo, last = at[:-1][keep], at[1:][keep], first[:-1][keep], last[keep]
                 hi = last + length
-                for c, x in zip(cols, (_signed(d.of(a, b + GRAM)), _signed(d.of(lo, hi)), np.full(len(a), cid, dtype=np.int64), lo, last)):
+                end = np.maximum(b + GRAM, a + least)
+                for c, x in zip(cols, (_signed(d.of(a, end)), _signed(d.of(lo, hi)), np.full(len(a), cid, dtype=np.int64), lo, last)):
                     c.append(x)
             if cols[0]:
                 arrays = [np.concatenate(c) for c in cols]
