@@ -21,17 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The layout of a block, and the flags of whole and cut entries.
-BLOCK_BYTES = 4096
-COUNT_BYTES = 2
-OFFSET_BYTES = 2
-FLAG_BYTES = 1
-MAX_PAYLOAD = 4090
-COMPLETE, START, MIDDLE, END = 0, 1, 2, 3
-
-ENTRY_BYTES = OFFSET_BYTES + FLAG_BYTES
-#: What entries may take of a block: one entry of the longest payload fills it.
-CAPACITY = MAX_PAYLOAD + ENTRY_BYTES
+from palimpsest.functions.pages import BLOCK_BYTES, CAPACITY, COUNT_BYTES, ENTRY_BYTES, FLAG_BYTES, MAX_PAYLOAD, OFFSET_BYTES, cut, page
+
 PART_ITEMS = 20_000
 PART_BYTES = 16_000_000
 #: Orders tried for a part, and items placed in all of them.
@@ -102,14 +93,6 @@ def best_order(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return best
 
 
-def cut(length: int) -> list[tuple[int, int, int]]:
-    """``(start, end, flag)`` of the pieces of an entry of so many bytes."""
-    if length <= MAX_PAYLOAD:
-        return [(0, length, COMPLETE)]
-    at = [*range(0, length, MAX_PAYLOAD), length]
-    return [(a, b, START if not a else END if b == length else MIDDLE) for a, b in zip(at[:-1], at[1:])]
-
-
 def pack(payloads: list[bytes]) -> list[list[tuple[int, int, int]]]:
     """Blocks as lists of ``(payload, piece, flag)``, each in the order of the entries."""
     pieces = [(i, k, end - start, flag) for i, p in enumerate(payloads) for k, (start, end, flag) in enumerate(cut(len(p)))]
@@ -191,28 +174,13 @@ def packing_report(packed: DataFrame) -> DataFrame:
     )
 
 
-def page(num_entries: int, offsets: list[int], flags: list[int], entries: list[bytes]) -> bytes:
-    """The bytes of one block: count, end offsets (little endian), then flag and payload of each entry."""
-    body = b"".join(bytes([f]) + bytes(e) for f, e in zip(flags, entries))
-    head = num_entries.to_bytes(COUNT_BYTES, "little") + b"".join(o.to_bytes(OFFSET_BYTES, "little") for o in offsets)
-    return (head + body).ljust(BLOCK_BYTES, b"\0")
-
-
-def read_page(raw: bytes) -> list[tuple[int, bytes]]:
-    """``(flag, payload)`` of every entry of a block."""
-    n = int.from_bytes(raw[:COUNT_BYTES], "little")
-    start = COUNT_BYTES + OFFSET_BYTES * n
-    ends = [int.from_bytes(raw[COUNT_BYTES + OFFSET_BYTES * i :][:OFFSET_BYTES], "little") for i in range(n)]
-    return [(raw[start + a], raw[start + a + FLAG_BYTES : start + b]) for a, b in zip([0, *ends], ends)]
-
-
 def rendered(packed: DataFrame) -> DataFrame:
     """The new blocks as ``segment_id, part, block_no, page``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.select(["num_entries", "offsets", "flags", "entries"]).to_pylist()
-            pages = pa.array([page(**r) for r in rows], pa.binary())
+            rows = batch.select(["flags", "entries"]).to_pylist()
+            pages = pa.array([page(r["flags"], r["entries"]) for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pages], names=["segment_id", "part", "block_no", "page"])
 
     return packed.drop("sources").mapInArrow(run, "segment_id long, part int, block_no int, page binary")

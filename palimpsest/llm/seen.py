@@ -9,7 +9,7 @@ stand for it where the keys themselves would not fit.
 
 Incoming keys go to their shard in bounded batches and are probed against the shard's
 filter of every generation. A miss is certain. A hit is wrong with a chance of 2^-16 per
-generation; over all generations that compounds to 1 - (1 - 2^-16)^n, which is reported, and
+generation (of 16 bits); over all generations that compounds to 1 - (1 - 2^-16)^n, which is reported, and
 the few hits are confirmed against the log rows of just those hashes. Earlier records of the
 incoming batch itself are kept exactly.
 """
@@ -45,7 +45,7 @@ def _scramble(h: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def _cells(h: np.ndarray, seed: int, third: int) -> tuple[np.ndarray, np.ndarray]:
+def _cells(h: np.ndarray, seed: int, third: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Three cells of each key, one per third of the table, and the fingerprints."""
     x = _scramble(h, seed)
     cells = np.empty((len(h), 3), dtype=np.int64)
@@ -56,17 +56,17 @@ def _cells(h: np.ndarray, seed: int, third: int) -> tuple[np.ndarray, np.ndarray
             cells[:, k] = ((part * _U(third)) >> _U(32)).astype(np.int64) + k * third
         else:
             cells[:, k] = ((part * _U(third)) >> _U(21)).astype(np.int64) + k * third
-    marks = (_scramble(x.view(np.int64), 77) & _U((1 << FINGERPRINT_BITS) - 1)).astype(np.uint16)
+    marks = (_scramble(x.view(np.int64), 77) & _U((1 << bits) - 1)).astype(np.uint16)
     return cells, marks
 
 
-def build_filter(hashes: np.ndarray) -> tuple[int, int, bytes]:
+def build_filter(hashes: np.ndarray, bits: int = FINGERPRINT_BITS) -> tuple[int, int, bytes]:
     """``(seed, third, table)`` of a filter of distinct 64-bit hashes."""
     third = int(len(hashes) * 1.27 / 3) + 11
     seed = 0
     while True:
         seed += 1
-        cells, marks = _cells(hashes, seed, third)
+        cells, marks = _cells(hashes, seed, third, bits)
         owners = np.bincount(cells.ravel(), minlength=3 * third)
         keys = np.zeros(3 * third, dtype=np.int64)
         for k in range(3):
@@ -93,8 +93,8 @@ def build_filter(hashes: np.ndarray) -> tuple[int, int, bytes]:
     return seed, third, table.tobytes()
 
 
-def probe_filter(hashes: np.ndarray, seed: int, third: int, table: bytes) -> np.ndarray:
-    cells, marks = _cells(hashes, seed, third)
+def probe_filter(hashes: np.ndarray, seed: int, third: int, table: bytes, bits: int = FINGERPRINT_BITS) -> np.ndarray:
+    cells, marks = _cells(hashes, seed, third, bits)
     t = np.frombuffer(table, dtype=np.uint16)
     return (t[cells[:, 0]] ^ t[cells[:, 1]] ^ t[cells[:, 2]]) == marks
 
@@ -111,7 +111,10 @@ class SealedBatches:
     ``order`` is the bigint column of arrival by which the log is cut into generations.
     """
 
-    def __init__(self, log: DataFrame, order: str = "seq", generations: int = GENERATIONS, filter_keys: int = FILTER_KEYS):
+    def __init__(
+        self, log: DataFrame, order: str = "seq", generations: int = GENERATIONS, filter_keys: int = FILTER_KEYS, bits: int = FINGERPRINT_BITS
+    ):
+        self.bits = bits
         lo, hi, n = log.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
         self.generations = generations
         self.shards = max(1, -(-n // (generations * filter_keys)))
@@ -124,9 +127,11 @@ class SealedBatches:
         return F.pmod(F.shiftright("h", 7), F.lit(self.shards)).cast("int")
 
     def _build(self) -> DataFrame:
+        bits = self.bits
+
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             h = np.unique(pdf["h"].to_numpy(dtype=np.int64))
-            seed, third, cells = build_filter(h)
+            seed, third, cells = build_filter(h, bits)
             return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "gen": [pdf["gen"].iloc[0]], "seed": [seed], "third": [third], "n": [len(h)], "cells": [cells]})
 
         distinct = self.keys.select("gen", "h").distinct().withColumn("shard", self.shard())
@@ -134,13 +139,15 @@ class SealedBatches:
 
     def probe(self, hashes: DataFrame) -> DataFrame:
         """``(h, gen)``: the generations whose filter claims to hold each distinct ``h`` of ``hashes``."""
+        bits = self.bits
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(batch.num_rows):
                     h = np.asarray(batch.column(0)[k].values)
                     gens, hits = [], []
                     for f in batch.column(1)[k].as_py():
-                        hit = h[probe_filter(h, f["seed"], f["third"], f["cells"])]
+                        hit = h[probe_filter(h, f["seed"], f["third"], f["cells"], bits)]
                         hits.append(hit)
                         gens.append(np.full(len(hit), f["gen"], dtype=np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hits)), pa.array(np.concatenate(gens))], names=["h", "gen"])
@@ -183,14 +190,14 @@ def seen_before(
     return found.select(F.col("id").alias(id_col))
 
 
-def error_report(incoming: DataFrame, log: DataFrame, id_col: str = "in_id", order: str = "seq") -> DataFrame:
+def error_report(incoming: DataFrame, log: DataFrame, order: str = "seq", bits: int = FINGERPRINT_BITS) -> DataFrame:
     """Per generation, and compounded over all of them as generation -1: keys and bits per key held,
     distinct keys probed, hits, hits that were wrong, and the expected rate of wrong hits.
 
     ``(generation, keys, bits_per_key, probes, hits, wrong_hits, expected_rate)``; the measured rate
     is wrong_hits among the probes that the generation lacks.
     """
-    sealed = SealedBatches(log, order)
+    sealed = SealedBatches(log, order, bits=bits)
     probed = _keyed(incoming).select("h").distinct()
     n = probed.agg(F.count("*").alias("probes")).withColumn("one", F.lit(1))
     true = sealed.keys.select("h", "gen").distinct().withColumn("true", F.lit(1))
@@ -200,7 +207,7 @@ def error_report(incoming: DataFrame, log: DataFrame, id_col: str = "in_id", ord
         F.lit(-1).alias("gen"), F.count("*").alias("hits"), F.sum(F.when(F.col("true").isNull(), 1).otherwise(0)).alias("wrong_hits")
     )
     size = sealed.filters.groupBy("gen").agg(F.sum("n").alias("keys"), F.sum(F.octet_length("cells") * 8).alias("bits"))
-    rate = 2.0**-FINGERPRINT_BITS
+    rate = 2.0**-bits
     total = size.agg(F.lit(-1).alias("gen"), F.sum("keys").alias("keys"), F.sum("bits").alias("bits"), F.count("*").alias("g")).withColumn(
         "rate", 1 - F.pow(F.lit(1 - rate), F.col("g"))
     )
