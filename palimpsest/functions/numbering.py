@@ -20,8 +20,7 @@ def with_position(rows: DataFrame, order: list[Column], name: str = "pos", first
     """
     lazy = rows.withColumn("_one", F.lit(1))
     known = rows.sparkSession
-    small = rows.limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS
-    if small:
+    if rows.count() <= ONE_TASK_ROWS:
         return lazy.withColumn(name, F.row_number().over(Window.partitionBy("_one").orderBy(*order)).cast("long") + (first - 1)).drop("_one")
     width = int(known.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = durable(rows.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))

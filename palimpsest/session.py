@@ -43,9 +43,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_width(df: DataFrame) -> int:
-    """The session's number of shuffle partitions."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its input has fewer partitions than there are cores.
+
+    For costly per-row work over a small input, as of one file; large inputs stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def make_importable(spark: SparkSession) -> None:
