@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.session import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 # The published word pattern of the byte-level tokenizers, and the same
@@ -230,4 +232,4 @@ def encode_column(
                 )
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return spread(src).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.session import durable
+from palimpsest.session import durable, spread
 
 LENGTH = 300
 GRAM = 32
@@ -194,7 +194,7 @@ def shared_spans(
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     src = src.filter(F.char_length("text") >= length).withColumn("cid", F.xxhash64("text"))
 
-    found = chunk_texts(src, length, reach)
+    found = chunk_texts(spread(src), length, reach)
     groups = (
         found.groupBy("digest")
         .agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("around").alias("a0"), F.max("around").alias("a1"))
@@ -205,8 +205,9 @@ def shared_spans(
     whole = shared.filter("same").select("cid", F.col("lo").alias("s"), (F.col("last") + length).alias("e"))
 
     edges = durable(shared.filter(~F.col("same")).groupBy("cid").agg(F.collect_list(F.struct("lo", "last")).alias("places")))
-    n = edges.count()
-    texts = src.select("text", "cid").join(F.broadcast(edges.select("cid")), "cid", "left_semi") if n <= BROADCAST_TEXTS else src.select("text", "cid")
+    few = edges.select("cid")
+    few = F.broadcast(few) if edges.count() <= BROADCAST_TEXTS else few
+    texts = src.select("text", "cid").join(few, "cid", "left_semi")
     texts = texts.groupBy("cid").agg(F.first("text").alias("text")).join(edges, "cid")
     windows = window_digests(texts, length)
     common = windows.groupBy("w0", "w1").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 <> c1").select("w0", "w1")
