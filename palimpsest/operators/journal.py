@@ -27,6 +27,28 @@ def entry_bytes() -> Column:
     return (FRONT_BYTES + F.when(F.col("metadata").isNotNull(), METADATA_BYTES).otherwise(0) + FLAG_BYTES + ranges).cast("long")
 
 
+ENTRY_SCHEMA = (
+    "seq long, entry_type tinyint, entry_time long, frange_id long, "
+    "metadata struct<range_start:long,range_end:long,length:long,size:long,created_at:long,modified_at:long>, "
+    "free_ranges array<struct<range_start:long,range_end:long>>"
+)
+
+
+def encode_entries(journal: DataFrame) -> DataFrame:
+    """``(seq, entry)``: entries as JSON text, null parts left out."""
+    names = ["seq", "entry_type", "entry_time", "frange_id", "metadata", "free_ranges"]
+    return journal.select("seq", F.to_json(F.struct(*names)).alias("entry"))
+
+
+def decode_entries(encoded: DataFrame, entry: str = "entry") -> DataFrame:
+    """Entries from :func:`encode_entries`; ``problem`` is 'entry too short' for text that is no entry,
+    'invalid entry type' for an unknown type, else null."""
+    rows = encoded.select(F.from_json(entry, ENTRY_SCHEMA).alias("e")).select("e.*")
+    kind = F.col("entry_type")
+    problem = F.when(kind.isNull(), "entry too short").when(~kind.isin(CREATE, DELETE, UPDATE, COALESCE), "invalid entry type")
+    return rows.withColumn("problem", problem)
+
+
 def entry_sizes(journal: DataFrame) -> DataFrame:
     """``(seq, entry_type, bytes)`` of every entry."""
     return journal.select("seq", "entry_type", entry_bytes().alias("bytes"))

@@ -127,6 +127,12 @@ def journal_entry_size(spark, folder):
     return journal.entry_sizes(_journal(spark, folder))
 
 
+def journal_text(spark, folder):
+    rows = journal.decode_entries(journal.encode_entries(_journal(spark, folder)))
+    ranges = F.when(F.col("free_ranges").isNotNull(), F.size("free_ranges"))
+    return rows.select("seq", "entry_type", "entry_time", "frange_id", F.col("metadata.range_start").alias("range_start"), F.col("metadata.modified_at").alias("modified_at"), ranges.alias("ranges"))
+
+
 def journal_retention(spark, folder):
     return journal.retention(_journal(spark, folder), JOURNAL_BYTES)
 
@@ -220,7 +226,7 @@ QUERIES = {
     for f in (
         current_extents, free_ranges, free_total, used_total, frag_stats, can_allocate, alloc_classify, rightmost_fit, after_allocation,
         coalesce_ranges, delete_extents, compaction_trigger, compaction_candidates, compaction_candidates_all, dirty_pages,
-        consolidate_pages, write_ranges, fs_health, journal_entry_size, journal_retention, journal_replay, journal_free,
+        consolidate_pages, write_ranges, fs_health, journal_entry_size, journal_text, journal_retention, journal_replay, journal_free,
         journal_next_id, journal_drift, block_chunking, block_packing, block_stats, block_entries, block_entry_at, block_offsets,
         block_pages, segment_layout, segment_seek, segment_remaining, segment_stats, stored_index_checks,
     )
@@ -326,6 +332,8 @@ ORACLE = {
         {CAPACITY - DATA_START}::BIGINT AS total_size, CAST(used AS BIGINT) AS used_space, total_free_space AS free_space,
         16 + 64 * c + 16 * free_range_count AS metadata_size, free_range_count, largest_free_block, average_fragment_size, small_fragments FROM q, a""",
     "journal_entry_size": f"SELECT seq, entry_type, CAST({_SIZE} AS BIGINT) AS bytes FROM journal",
+    "journal_text": """SELECT seq, entry_type, entry_time, frange_id, metadata.range_start AS range_start, metadata.modified_at AS modified_at,
+      CAST(len(free_ranges) AS INTEGER) AS ranges FROM journal""",
     "journal_retention": f"""
 WITH b AS (SELECT seq, CAST({_SIZE} AS BIGINT) AS bytes FROM journal),
 r AS (SELECT *, CAST(coalesce(sum(CASE WHEN bytes <= {JOURNAL_BYTES} THEN bytes END) OVER (ORDER BY seq DESC ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS bytes_from_end FROM b)

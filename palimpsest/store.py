@@ -126,6 +126,7 @@ class Store:
         self._pending: list[tuple] = []
         self._pending_bytes = 0
         self._frozen = self._closed = False
+        self._cached: tuple[list[str], DataFrame] | None = None
 
     # writes
 
@@ -229,9 +230,24 @@ class Store:
     def log(self) -> DataFrame:
         """All versions, synced or not."""
         runs = [r["path"] for r in self._state["runs"]]
-        stored = self.spark.read.schema(LOG).parquet(*(f"{self.path}/{p}" for p in runs)) if runs else empty_log(self.spark)
+        if self._cached is not None and self._cached[0] == runs:
+            stored = self._cached[1]
+        else:
+            stored = self.spark.read.schema(LOG).parquet(*(f"{self.path}/{p}" for p in runs)) if runs else empty_log(self.spark)
         return stored.unionByName(self._unsynced()) if self._pending else stored
 
+    def cache(self) -> None:
+        """Keep the synced runs' rows in the executors' memory, spilling to disk, until the runs change."""
+        self.clear_cache()
+        runs = [r["path"] for r in self._state["runs"]]
+        if runs:
+            self._cached = (runs, self.spark.read.schema(LOG).parquet(*(f"{self.path}/{p}" for p in runs)).persist())
+
+    def clear_cache(self) -> None:
+        if self._cached is not None:
+            self._cached[1].unpersist()
+            self._cached = None
+
     def _unsynced(self) -> DataFrame:
         src = self._state["next_src"]
         return self.spark.createDataFrame([(*r, src) for r in self._pending], LOG)
@@ -306,6 +322,7 @@ class Store:
         """Sync and refuse all further writes."""
         if not self._closed:
             self.sync()
+            self.clear_cache()
             self._closed = True
 
     def _add_run(self, rows: DataFrame) -> None:

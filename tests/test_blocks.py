@@ -86,3 +86,14 @@ def test_segments_hold_what_their_size_allows(spark):
     assert segments.read_block(placed.filter("stored"), 1, 2).count() == 0
     assert [r["block_no"] for r in segments.seek(placed, 1).collect()] == [1, 2, 1, 2]
     assert {r["segment_id"]: r["blocks_remaining"] for r in segments.remaining(placed, 1).collect()} == {1: 2, 2: 2}
+
+
+def test_files_of_pages(spark, tmp_path):
+    from palimpsest.sources.pagefiles import read_pages
+
+    (tmp_path / "s1").write_bytes(pages.page([0, 0], [b"a", b""]) + pages.page([1], [b"x" * 4090]))
+    (tmp_path / "s2").write_bytes(pages.page([0], [b"b"]) + b"tail")
+    (tmp_path / "s3").write_bytes(b"")
+    raw = read_pages(spark, str(tmp_path))
+    got = blocks.decode_pages(raw, ["file", "block_no"]).collect()
+    assert sorted((r["file"][-2:], r["block_no"], r["slot"] if r["slot"] is not None else -1) for r in got) == [("s1", 0, 0), ("s1", 0, 1), ("s1", 1, 0), ("s2", 0, 0), ("s2", 1, -1)]

@@ -154,3 +154,13 @@ def test_retention_keeps_the_newest_that_fit(spark):
     rows = [(1, 1, 0, 1, meta(0, 5), None), (2, 4, 0, None, None, [(0, 1)] * 100), (3, 1, 0, 2, meta(5, 5), None), (4, 2, 0, 1, None, None)]
     got = {r["seq"]: (r["bytes"], r["kept"]) for r in journal.retention(spark.createDataFrame(rows, JOURNAL), 140).collect()}
     assert got == {1: (67, False), 2: (18 + 1 + 8 + 1600, False), 3: (67, True), 4: (19, True)}
+
+
+def test_entries_as_text(spark):
+    rows = [(1, 1, 5, 7, meta(0, 5), None), (2, 4, None, None, None, [(0, 1), (2, 3)]), (3, 9, 1, 1, None, [])]
+    df = spark.createDataFrame(rows, JOURNAL)
+    text = journal.encode_entries(df)
+    back = journal.decode_entries(text)
+    assert sorted(back.drop("problem").collect()) == sorted(df.collect())
+    assert {r["seq"]: r["problem"] for r in back.collect()} == {1: None, 2: None, 3: "invalid entry type"}
+    assert journal.decode_entries(spark.createDataFrame([("{",), (None,)], "entry string")).select("problem").distinct().collect()[0][0] == "entry too short"

@@ -190,3 +190,16 @@ def test_running_views_of_a_stream(spark, tmp_path):
     q = ingest.once_per_version(stream.union(stream), "at", "1 minute").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("once").count() == 3
+
+
+def test_caching_follows_the_runs(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    s.cache()
+    s.put(b"a", b"1")
+    s.sync()
+    s.cache()
+    assert s.get(b"a") == b"1"
+    s.put(b"a", b"2")
+    s.sync()
+    assert s.get(b"a") == b"2"
+    s.close()
