@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from palimpsest.session import durable
@@ -11,21 +11,41 @@ from palimpsest.session import durable
 ONE_TASK_ROWS = 1_000_000
 
 
+def _placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` range-partitioned and sorted, with the partition in ``_part`` and the place in it in ``_at``.
+
+    A checkpoint keeps the places what they are if a task is repeated.
+    """
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    placed = durable(spread.withColumn("_id", F.monotonically_increasing_id()))
+    return placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
+
+
+def _before() -> WindowSpec:
+    """All earlier partitions, over one row for each."""
+    return Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def with_position(rows: DataFrame, order: list[Column], name: str = "pos", first: int = 1) -> DataFrame:
     """``rows`` with a column of consecutive numbers from ``first`` in ``order``.
 
-    Range partitions are sorted, cut off with a checkpoint so that the places stay what they are
-    if a task is repeated, and each partition's rows are counted on from the partitions before it;
-    only one count per partition passes through a single task. Ties are numbered in any order.
+    Each range partition's rows are counted on from the partitions before it; only one count per
+    partition passes through a single task. Ties are numbered in any order.
     """
-    lazy = rows.withColumn("_one", F.lit(1))
-    known = rows.sparkSession
     if rows.count() <= ONE_TASK_ROWS:
-        return lazy.withColumn(name, F.row_number().over(Window.partitionBy("_one").orderBy(*order)).cast("long") + (first - 1)).drop("_one")
-    width = int(known.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = durable(rows.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    placed = sorted_rows.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1))
-    before = Window.partitionBy("_one").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at") + first).drop("_part", "_at", "_before")
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).cast("long") + (first - 1))
+    placed = _placed(rows, order)
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_earlier"))
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_earlier") + F.col("_at") + first).drop("_part", "_at", "_earlier")
+
+
+def greatest_so_far(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """``rows`` with the greatest ``value`` up to and including each row in ``order``; nulls do not count."""
+    if rows.count() <= ONE_TASK_ROWS:
+        return rows.withColumn(name, F.max(value).over(Window.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    placed = _placed(rows, order)
+    most = placed.groupBy("_part").agg(F.max(value).alias("_m")).select("_part", F.max("_m").over(_before()).alias("_earlier"))
+    own = F.max(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("_own", own).join(F.broadcast(most), "_part").withColumn(name, F.greatest("_own", "_earlier")).drop("_part", "_at", "_own", "_earlier")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.numbering import greatest_so_far, with_position
 from palimpsest.model import IDENTITY, total_order
-from palimpsest.functions.numbering import with_position
 
 
 def blocked(log: DataFrame, rows_per_block: int) -> DataFrame:
@@ -30,18 +30,14 @@ def lookup(index: DataFrame, probes: DataFrame) -> DataFrame:
     """``(ns, key, block_no)``: for each distinct probe the block to begin reading at, null before the first.
 
     That is the last block whose first version comes before the probe's newest one; the key's own
-    versions may also begin in the next block. Index and probes are merged per namespace; what a
-    namespace has no block start for is in the last block of the namespaces before.
+    versions may also begin in the next block. Index and probes are merged in one order.
     """
-    starts = index.select("ns", "key", F.lit(0).alias("probe"), "block_no")
-    asked = probes.select(F.col("ns").cast("long").alias("ns"), F.col("key").cast("binary").alias("key")).distinct()
     # a block that starts with the key itself does not lie before the key's newest version
-    rows = starts.withColumn("probe", F.lit(1)).unionByName(asked.select("ns", "key", F.lit(0).alias("probe"), F.lit(None).cast("long").alias("block_no")))
-    w = Window.partitionBy("ns").orderBy("key", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    own = rows.withColumn("own", F.max("block_no").over(w)).filter("probe = 0")
-    over = Window.partitionBy(F.lit(1)).orderBy("ns").rowsBetween(Window.unboundedPreceding, -1)
-    spaces = rows.groupBy("ns").agg(F.max("block_no").alias("m")).select("ns", F.max("m").over(over).alias("before"))
-    return own.join(spaces, "ns").select("ns", "key", F.coalesce("own", "before").alias("block_no"))
+    starts = index.select("ns", "key", F.lit(1).alias("start"), "block_no")
+    asked = probes.select(F.col("ns").cast("long").alias("ns"), F.col("key").cast("binary").alias("key")).distinct()
+    rows = starts.unionByName(asked.select("ns", "key", F.lit(0).alias("start"), F.lit(None).cast("long").alias("block_no")))
+    found = greatest_so_far(rows, [F.col("ns"), F.col("key"), F.col("start")], "block_no", "last")
+    return found.filter("start = 0").select("ns", "key", F.col("last").alias("block_no"))
 
 
 def key_hash(seed: Column | int = 0) -> Column:

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.errors import InvalidSegmentSize
 from palimpsest.functions.pages import BLOCK_BYTES
+from palimpsest.functions.running import running_sum
 
 
 def layout(blocks: DataFrame, segment: str, order: str, segment_bytes: int | None = None) -> DataFrame:
     """``segment, order, block_no, offset, stored``: blocks of a segment lie one after another in ``order``.
 
     A segment of ``segment_bytes`` holds that many bytes of blocks; later ones are not stored. Each
-    distinct ``(segment, order)`` is one block. Without a size segments are unlimited.
+    distinct ``(segment, order)`` is one block; ``order`` is a bigint. Without a size segments are unlimited.
     """
     if segment_bytes is not None and segment_bytes % BLOCK_BYTES:
         raise InvalidSegmentSize(f"{segment_bytes} is no multiple of {BLOCK_BYTES}")
-    w = Window.partitionBy(segment).orderBy(order)
-    once = blocks.select(segment, order).distinct()
-    placed = once.withColumn("block_no", (F.row_number().over(w) - 1).cast("long")).withColumn("offset", F.col("block_no") * BLOCK_BYTES)
+    counted = running_sum(blocks.select(segment, order).distinct(), order, F.lit(1), "_n", keys=[segment])
+    placed = counted.withColumn("block_no", F.col("_n") - 1).drop("_n").withColumn("offset", F.col("block_no") * BLOCK_BYTES)
     room = F.lit(True) if segment_bytes is None else F.col("offset") + BLOCK_BYTES <= segment_bytes
     return placed.withColumn("stored", room)
 

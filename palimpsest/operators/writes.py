@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.errors import CapacityExceeded
 from palimpsest.functions.codecs import run_bytes
 from palimpsest.functions.numbering import with_position
+from palimpsest.functions.running import running_sum
 from palimpsest.model import COLUMNS, VERSION, conform
 
 # The kinds of operations; those without a namespace go to namespace 0.
@@ -80,12 +81,11 @@ def admission(log: DataFrame, limit: int, used: int = 0) -> DataFrame:
     """Per run, the rows in order of arrival with their running size and whether the run takes them:
     the log's columns, ``running_bytes`` and ``admitted``.
 
-    The first row that would exceed ``limit`` and all after it are refused. Runs are windows of
-    their own; a run is bounded by its limit, so only refused rows make one long.
+    The first row that would exceed ``limit`` and all after it are refused.
     """
-    w = Window.partitionBy("src").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    running = F.sum(run_bytes(F.col("key"), F.col("value"))).over(w) + used
-    return log.select(*COLUMNS, running.alias("running_bytes"), (running <= limit).alias("admitted"))
+    running = running_sum(log, "seq", run_bytes(F.col("key"), F.col("value")), "running_bytes", keys=["src"])
+    running = running.withColumn("running_bytes", F.col("running_bytes") + used)
+    return running.select(*COLUMNS, "running_bytes", (F.col("running_bytes") <= limit).alias("admitted"))
 
 
 def admit(log: DataFrame, limit: int, used: int = 0, partial: bool = False) -> DataFrame:

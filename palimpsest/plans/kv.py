@@ -303,7 +303,7 @@ ORACLE = {
     "multi_get_incoming": _V + f", p AS ({_PROBES}) SELECT ns, key, ts, value, seq FROM ({_LIVE}) WHERE (ns, key) IN (SELECT (ns, key) FROM p)",
     "as_of_snapshot": _E.replace("FROM events)", f"FROM events WHERE epoch_us(ts) * 1000 <= {AS_OF})") + f"SELECT ns, key, ts, value, seq FROM ({_LIVE})",
     "version_history": _E
-    + """SELECT ns, key, ts, value, CAST(row_number() OVER w AS INTEGER) AS version, ts - lead(ts) OVER w AS age_ns,
+    + """SELECT ns, key, ts, value, row_number() OVER w AS version, ts - lead(ts) OVER w AS age_ns,
        lead(value) OVER w IS DISTINCT FROM value AS changed FROM l WINDOW w AS (PARTITION BY ns, key ORDER BY ts DESC, seq DESC)""",
     "version_counts": _V
     + """SELECT ns, key, count(*) AS versions, count(*) FILTER (is_delete) AS tombstones, min(ts) AS first_ts, max(ts) AS last_ts

@@ -109,6 +109,17 @@ def test_bounds_reach_the_scan(spark, log, tmp_path):
     assert "GreaterThanOrEqual(ns,1)" in text and "LessThanOrEqual(ns,255)" in text
 
 
+def test_history_equals_a_walk_over_each_key(log, rows):
+    want = {}
+    for key in {(r[0], bytes(r[1])) for r in rows}:
+        own = sorted((r for r in rows if (r[0], bytes(r[1])) == key), key=lambda r: (-r[2], -r[5]))
+        for n, r in enumerate(own):
+            older = own[n + 1] if n + 1 < len(own) else None
+            want[r[5]] = (n + 1, None if older is None else r[2] - older[2], (older[3] if older else None) != r[3])
+    for slices in (1, 7, 256):
+        assert {r["seq"]: (r["version"], r["age_ns"], r["changed"]) for r in reads.history(log, slices).collect()} == want
+
+
 def test_history_numbers_versions_from_the_newest(log):
     rows = [r for r in reads.history(log).collect() if r["version"] == 1]
     latest = {(r["ns"], bytes(r["key"])): r["seq"] for r in reads.latest(log).collect()}

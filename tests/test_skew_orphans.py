@@ -1,7 +1,9 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import numbering
 from palimpsest.operators import index, orphans, skew
 from palimpsest.model import LOG
 
@@ -62,7 +64,9 @@ def test_a_hot_range_is_probed_in_many_batches(spark, monkeypatch):
     assert sorted(r["ref_key"] for r in orphans.orphans(refs, parents).collect()) == list(range(1, 1000, 2))
 
 
-def test_index_lookup_and_membership(spark):
+@pytest.mark.parametrize("one_task", [10_000, 5])
+def test_index_lookup_and_membership(spark, monkeypatch, one_task):
+    monkeypatch.setattr(numbering, "ONE_TASK_ROWS", one_task)
     keys = [(ns, bytearray(b"%03d" % k), 5, bytearray(b"v"), False, i, 0) for i, (ns, k) in enumerate((ns, k) for ns in (0, 3) for k in range(20))]
     log = spark.createDataFrame(keys, LOG)
     sparse = index.sparse_index(index.blocked(log, 8))
