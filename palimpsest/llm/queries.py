@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, leaks, packing, seen, spans, survivors
 from palimpsest.sources.tables import table
@@ -17,6 +18,11 @@ def p1_currency(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("first_seq", "n_rows", "val_seq", "val_by", "writer_seq", "writer_by")
 
 
+def p1_records(spark: SparkSession, folder: str) -> DataFrame:
+    found = survivors.version_records(table(spark, folder, "version_log"), "clock")
+    return found.select("first_seq", "n_rows", F.col("v_ns").alias("ns"), F.hex("v_key").alias("key"), F.col("v_us").alias("us"), F.hex("val").alias("val"), "writer")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return seen.seen_before(table(spark, folder, "incoming_puts"), table(spark, folder, "version_log"))
 
@@ -62,6 +68,7 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_currency": p1_currency,
+    "p1_records": p1_records,
     "p2_found": p2_found,
     "p2_error_rates": p2_error_rates,
     "p5_blocks": p5_blocks,
