@@ -171,25 +171,40 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        out: list[np.ndarray] = []
+        parts = [(i, p) for i, t in enumerate(texts) for p in text_parts(t)]
+        ids: list[list[np.ndarray]] = [[] for _ in texts]
         at = 0
-        while at < len(texts):
+        while at < len(parts):
             end, size = at, 0
-            while end < len(texts) and (size < SLICE_CHARS or end == at):
-                size += len(texts[end])
+            while end < len(parts) and (size < SLICE_CHARS or end == at):
+                size += len(parts[end][1])
                 end += 1
-            split = [_split(t) for t in texts[at:end]]
+            split = [_split(p) for _, p in parts[at:end]]
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
             fresh = list(set(chain.from_iterable(split)).difference(self.known))
             if fresh:
                 self.learn(fresh)
             get = self.known.__getitem__
-            out += [np.fromiter(chain.from_iterable(map(get, ws)), dtype=np.int32) for ws in split]
+            for (i, _), words in zip(parts[at:end], split):
+                ids[i].append(np.fromiter(chain.from_iterable(map(get, words)), dtype=np.int32))
             at = end
-        return out
+        return [x[0] if len(x) == 1 else np.concatenate([*x, np.empty(0, np.int32)]) for x in ids]
 
 
+def text_parts(text: str) -> list[str]:
+    """``text`` in parts of about ``SLICE_CHARS`` characters that are encoded each by itself."""
+    if len(text) <= SLICE_CHARS:
+        return [text]
+    out, at = [], 0
+    while len(text) - at > SLICE_CHARS and (m := _cut.search(text, at + SLICE_CHARS)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
+
+
+# No word holds white space after another character, so a text may be cut between the two.
+_cut = regex.compile(r"(?<=\S)[ \t\r\n]")
 _pattern = regex.compile(PATTERN)
 _ascii_pattern = re.compile(ASCII_PATTERN)
 _encoders: dict[str, Encoder] = {}
@@ -221,9 +236,15 @@ def encode_column(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                ids = enc.encode([t or "" for t in part.column(1).to_pylist()])
+            lo = 0
+            while lo < batch.num_rows:
+                texts, chars = [], 0
+                while lo + len(texts) < batch.num_rows and chars < SLICE_CHARS:
+                    texts.append(batch.column(1)[lo + len(texts)].as_py() or "")
+                    chars += len(texts[-1])
+                part = batch.slice(lo, len(texts))
+                lo += len(texts)
+                ids = enc.encode(texts)
                 offsets = np.zeros(len(ids) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
                 values = np.concatenate([*ids, np.empty(0, np.int32)])

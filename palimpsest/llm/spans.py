@@ -34,6 +34,9 @@ LENGTH = 300
 GRAM = 32
 #: The texts that need a second look are broadcast as 8-byte ids up to this many, else joined.
 BROADCAST_TEXTS = 500_000
+#: Windows of a text digested together, and rows put out together; both bound memory only.
+PIECE = 1_000_000
+OUT_ROWS = 200_000
 
 _U = np.uint64
 _BASE = (_U(0xD6E8FEB86659FD93), _U(0xA3B195354A39B70D))
@@ -58,8 +61,7 @@ def _power(lane: int, n: int, undo: bool) -> np.ndarray:
         have = np.full(size, (_UNDO if undo else _BASE)[lane])
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 1 << 22:
-            _powers[(lane, undo)] = have
+        _powers[(lane, undo)] = have
     return have[:n]
 
 
@@ -118,40 +120,56 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def pieces(points: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A text in parts whose windows together are the text's, each once: ``(first window, characters)``."""
+    for at in range(0, len(points) - length + 1, PIECE):
+        yield at, points[at : at + PIECE + length - 1]
+
+
+def chunks(points: np.ndarray, length: int, reach: int) -> list[tuple[np.ndarray, ...]]:
+    """Digest, digest of the surroundings, first and last window of each chunk, piece by piece."""
+    least = length - reach + 1
+    out = []
+    for start, part in pieces(points, length):
+        at, first = anchors(part, reach)
+        last = np.minimum(first[1:] - 1, len(part) - length)
+        keep = last >= first[:-1]
+        a, b, lo, last = at[:-1][keep], at[1:][keep], first[:-1][keep], last[keep]
+        d = Digester(part, 0)
+        out.append((_signed(d.of(a, np.maximum(b + GRAM, a + least))), _signed(d.of(lo, last + length)), lo + start, last + start))
+    return out
+
+
 def chunk_texts(docs: DataFrame, length: int, reach: int) -> DataFrame:
     """One row per chunk of every text: digest, digest of its surroundings, text, and its windows."""
-    least = length - reach + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            rows: list[tuple[int, tuple[np.ndarray, ...]]] = []
+            size = 0
             for text, cid in zip(batch.column(0), batch.column(1).to_pylist()):
-                if cid in met:
-                    continue
-                met.add(cid)
-                points = code_points(text.as_py())
-                at, first = anchors(points, reach)
-                last = np.minimum(first[1:] - 1, len(points) - length)
-                keep = last >= first[:-1]
-                if not keep.any():
-                    continue
-                d = Digester(points, 0)
-                a, b, lo, last = at[:-1][keep], at[1:][keep], first[:-1][keep], last[keep]
-                hi = last + length
-                end = np.maximum(b + GRAM, a + least)
-                for c, x in zip(cols, (_signed(d.of(a, end)), _signed(d.of(lo, hi)), np.full(len(a), cid, dtype=np.int64), lo, last)):
-                    c.append(x)
-            if cols[0]:
-                arrays = [np.concatenate(c) for c in cols]
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, arrays[:3]), *(pa.array(x.astype(np.int32)) for x in arrays[3:])],
-                    names=["digest", "around", "cid", "lo", "last"],
-                )
+                if cid not in met:
+                    met.add(cid)
+                    for c in chunks(code_points(text.as_py()), length, reach):
+                        rows.append((cid, c))
+                        size += len(c[0])
+                if size > OUT_ROWS:
+                    yield _chunk_batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _chunk_batch(rows)
 
     return docs.select("text", "cid").mapInArrow(run, "digest long, around long, cid long, lo int, last int")
 
 
+def _chunk_batch(rows: list[tuple[int, tuple[np.ndarray, ...]]]) -> pa.RecordBatch:
+    digest, around, lo, last = (np.concatenate([c[i] for _, c in rows]) for i in range(4))
+    cid = np.repeat(np.array([i for i, _ in rows], dtype=np.int64), [len(c[0]) for _, c in rows])
+    cols = [digest, around, cid, lo.astype(np.int32), last.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["digest", "around", "cid", "lo", "last"])
+
+
 def window_digests(texts: DataFrame, length: int) -> DataFrame:
     """One row per window in the listed ranges ``places`` of windows, ``(lo, last)`` each."""
 
@@ -162,15 +180,18 @@ def window_digests(texts: DataFrame, length: int) -> DataFrame:
                 points = code_points(batch.column(0)[k].as_py())
                 flat = places[k].values
                 lo, last = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
-                n = last - lo + 1
-                start = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                h = [_signed(Digester(points, lane).of(start, start + length)) for lane in (0, 1)]
-                for i in range(0, len(start), 200_000):
-                    part = slice(i, i + 200_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[0][part]), pa.array(h[1][part]), pa.array(np.full(len(start[part]), cid[k], dtype=np.int64)), pa.array(start[part].astype(np.int32))],
-                        names=["w0", "w1", "cid", "start"],
-                    )
+                for start, part in pieces(points, length):
+                    a, b = np.maximum(lo - start, 0), np.minimum(last - start, PIECE - 1)
+                    keep = b >= a
+                    if not keep.any():
+                        continue
+                    a, n = a[keep], (b - a + 1)[keep]
+                    at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    w0, w1 = (_signed(Digester(part, lane).of(at, at + length)) for lane in (0, 1))
+                    for i in range(0, len(at), OUT_ROWS):
+                        j = slice(i, i + OUT_ROWS)
+                        cols = [w0[j], w1[j], np.full(len(at[j]), cid[k], dtype=np.int64), (at[j] + start).astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["w0", "w1", "cid", "start"])
 
     return texts.select("text", "cid", "places").mapInArrow(run, "w0 long, w1 long, cid long, start int")
 

@@ -57,6 +57,17 @@ def test_a_full_cache_changes_nothing(reference, monkeypatch):
     assert [x.tolist() for x in bpe.Encoder(bpe.DEFAULT_VOCABULARY).encode(texts)] == [enc.encode_ordinary(t) for t in texts]
 
 
+def test_long_texts_are_cut_where_no_word_runs_on(reference, monkeypatch):
+    enc, _ = reference
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 7)
+    rng = random.Random(8)
+    texts = ODD + ["".join(rng.choice("ab1'.\x1c \n\t\u3000é") for _ in range(400)) for _ in range(50)]
+    for t in texts:
+        assert "".join(bpe.text_parts(t)) == t
+    assert max(len(bpe.text_parts(t)) for t in texts) > 10
+    assert [x.tolist() for x in bpe.Encoder(bpe.DEFAULT_VOCABULARY).encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_columns_nulls_and_repeats(spark, reference):
     enc, _ = reference
     rows = [(1, None, 9), (2, "", 9), (3, "hello world", 9), (3, "hello world", 9), (None, "x", 9), (4, "long " * 50_000, 9)]

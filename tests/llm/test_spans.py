@@ -94,6 +94,21 @@ def test_long_texts_and_shares(spark):
     assert share == {1: (300_000, 100_000), 2: (100_010, 100_000), 3: (0, 0)}
 
 
+def test_texts_longer_than_a_piece(spark):
+    rng = random.Random(3)
+    a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=2 * spans.PIECE + 12_345))
+    at = spans.PIECE
+    docs = [(1, a), (2, "w" * 500 + a[at - 2000 : at + 2000]), (3, a[at - 150 : at + 150] + "é" * 10), (4, a[2 * at - 100 : 2 * at + 199])]
+    assert found(spark.createDataFrame(docs, "doc_id long, text string")) == [(1, at - 2000, at + 2000), (2, 500, 4500), (3, 0, 300)]
+
+
+def test_pieces_hold_every_window_once(monkeypatch):
+    monkeypatch.setattr(spans, "PIECE", 37)
+    points = spans.code_points("".join(random.Random(4).choices("abc", k=700)))
+    rows = [w for c in spans.chunks(points, 100, 34) for lo, last in zip(c[2], c[3]) for w in range(lo, last + 1)]
+    assert rows == list(range(601))
+
+
 def test_whole_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     assert found(docs) == brute([tuple(r) for r in docs.select("doc_id", "text").collect()], 300)
