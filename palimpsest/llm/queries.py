@@ -14,12 +14,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_currency(spark: SparkSession, folder: str) -> DataFrame:
-    found = survivors.version_survivors(table(spark, folder, "version_log"), "currency")
+    found = survivors.version_survivors(table(spark, folder, "version_log"), "learned")
     return found.select("first_seq", "n_rows", "val_seq", "val_by", "writer_seq", "writer_by")
 
 
 def p1_records(spark: SparkSession, folder: str) -> DataFrame:
-    found = survivors.version_records(table(spark, folder, "version_log"), "clock")
+    found = survivors.version_records(table(spark, folder, "version_log"))
     return found.select("first_seq", "n_rows", F.col("v_ns").alias("ns"), F.hex("v_key").alias("key"), F.col("v_us").alias("us"), F.hex("val").alias("val"), "writer")
 
 
