@@ -287,6 +287,16 @@ def _le(x: str, width: int = 8) -> str:
     return " || ".join(f"substr({h}, {15 - 2 * i}, 2)" for i in range(width))
 
 
+# CRC-32 of `val`, a byte at a time: the table of 256 remainders, then a fold over the value's bytes.
+CRC_SQL = """
+WITH tab AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t FROM range(256) r(n)),
+c AS (
+  SELECT v.*, CASE WHEN val IS NOT NULL THEN xor(list_reduce(
+    list_transform(range(octet_length(val)), lambda i: CAST('0x' || substr(hex(val), 2 * i + 1, 2) AS BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) END AS crc
+  FROM version_log v, tab)
+"""
 _BLOCKS = f", b AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) - 1 AS pos, (row_number() OVER (ORDER BY {_ORDER}) - 1) // {ROWS_PER_BLOCK} AS block_no FROM l)"
 _SPARSE = ", i AS (SELECT block_no, min_by(ns, pos) AS ns, min_by(k, pos) AS k, min_by(ts, pos) AS ts, count(*) AS rows FROM b GROUP BY block_no)"
 
@@ -352,6 +362,8 @@ SELECT * FROM (SELECT in_id AS seq, CASE WHEN coalesce(lower(trim(op)) NOT IN ('
     + f"""SELECT seq, {_le('ns')} || hex(key) || {_le('~ts')} || repeat('FF', 8) AS key_form,
        {_le('ns')} || hex(key) || repeat('FF', 16) AS pointer_form, {_le('ns')} || hex(coalesce(value, '')) AS value_form FROM l""",
     "codec_round_trip": _V + "SELECT seq, ns, key, ts FROM l",
+    "crc_verify": CRC_SQL
+    + "SELECT seq, CASE WHEN val_crc IS NULL THEN 'none' WHEN crc = val_crc THEN 'ok' ELSE 'damaged' END AS checksum FROM c WHERE val IS NOT NULL",
     "sparse_index": _V.rstrip() + _BLOCKS + _SPARSE + " SELECT block_no, ns, hex(k) AS key, ts, rows FROM i",
     "ns_first_block": _V.rstrip() + _BLOCKS + " SELECT ns, min(block_no) AS first_block, max(block_no) AS last_block, count(*) AS rows FROM b GROUP BY ns",
     "index_lookup": _V.rstrip() + _BLOCKS + _SPARSE
