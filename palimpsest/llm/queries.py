@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, leaks, packing, seen, spans, survivors
+from palimpsest.plans.kv import CRC_SQL
 from palimpsest.sources.tables import table
 
 
@@ -81,7 +82,38 @@ QUERIES = {
     "p8_share": p8_share,
 }
 
+_VERSIONS = (
+    CRC_SQL.rstrip()
+    + f""",
+b AS (
+  SELECT seq, coalesce(ns, 0) AS ns, regexp_replace(hex(key), '(00|20)+$', '') AS key, CASE WHEN ts < {10**17} THEN ts ELSE ts // 1000 END AS us,
+         val, writer, arrived_at, CASE WHEN val IS NULL THEN 0 WHEN crc = val_crc THEN 2 ELSE 1 END AS q
+  FROM c WHERE key IS NOT NULL AND ts <> 0),
+s AS (
+  SELECT ns, key, us, min(seq) AS first_seq, count(*) AS n_rows, first(seq ORDER BY q DESC, arrived_at DESC NULLS LAST, seq DESC) AS val_seq,
+         first(seq ORDER BY arrived_at DESC NULLS LAST, seq DESC) FILTER (writer <> '') AS writer_seq
+  FROM b GROUP BY ns, key, us)
+"""
+)
+_SPANS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300),
+w AS (SELECT r, i, hash(substr(text, CAST(i + 1 AS BIGINT), 300)) AS h FROM (SELECT r, text, unnest(range(n - 299)) AS i FROM d)),
+g AS (SELECT h FROM w GROUP BY h HAVING min(r) <> max(r)),
+s AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM g)),
+m AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 300 THEN 0 ELSE 1 END AS first FROM s),
+k AS (SELECT r, i, sum(first) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM m),
+p AS (SELECT any_value(doc_id) AS doc_id, min(i) AS span_start, max(i) + 300 AS span_end FROM k JOIN d USING (r) GROUP BY r, k)
+"""
+
 ORACLE: dict[str, str] = {
+    "p1_found": _VERSIONS + "SELECT first_seq, val_seq, writer_seq FROM s WHERE n_rows > 1",
+    "p1_records": _VERSIONS
+    + """SELECT s.first_seq, s.n_rows, s.ns, s.key, s.us, hex(v.val) AS val, w.writer
+FROM s JOIN b v ON v.seq = s.val_seq LEFT JOIN b w ON w.seq = s.writer_seq""",
+    "p8_found": _SPANS + "SELECT doc_id, span_start, span_end FROM p",
+    "p8_share": _SPANS
+    + """SELECT doc_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS shared_chars
+FROM documents LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS n FROM p GROUP BY doc_id) USING (doc_id)""",
     "p2_found": """
 WITH k AS (
   SELECT in_id, coalesce(ns, 0) AS n, regexp_replace(hex(key), '(00|20)+$', '') AS k FROM incoming_puts WHERE key IS NOT NULL),
