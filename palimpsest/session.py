@@ -46,9 +46,12 @@ def durable(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if its input has fewer partitions than there are cores.
 
-    For costly per-row work over a small input, as of one file; large inputs stay where they are.
+    For costly per-row work over a small input, as of one file; large inputs, and what a shuffle has
+    spread already, stay where they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # to count its partitions would run the shuffle
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
