@@ -9,7 +9,7 @@ def test_only_few_partitions_are_spread(spark):
     assert spread(one).rdd.getNumPartitions() == 2 * cores
     many = spark.range(0, 100, 1, cores)
     assert spread(many) is many
-    shuffled = one.groupBy((F.col("id") % 3).alias("k")).count()
+    shuffled = many.groupBy((F.col("id") % 3).alias("k")).count()
     assert spread(shuffled) is shuffled
     assert spread(one).count() == 100
 
