@@ -17,8 +17,10 @@ ENTRY_BYTES = OFFSET_BYTES + FLAG_BYTES
 MAX_PAYLOAD = 4090
 COMPLETE, START, MIDDLE, END = 0, 1, 2, 3
 
-#: What entries may take of a block together: one entry of the longest payload fills it.
+#: What entries may take of a block together where it is filled in order: one entry of the longest payload fills it.
 CAPACITY = MAX_PAYLOAD + ENTRY_BYTES
+#: What entries can take of a block together: all but its count.
+ROOM = BLOCK_BYTES - COUNT_BYTES
 
 
 def cut(length: int, first: int = MAX_PAYLOAD) -> list[tuple[int, int, int]]:
@@ -31,8 +33,10 @@ def cut(length: int, first: int = MAX_PAYLOAD) -> list[tuple[int, int, int]]:
 
 def check_fit(used: int, payload: int) -> None:
     """Raise if a payload does not fit into a block whose entries take ``used`` bytes."""
-    if used + payload + ENTRY_BYTES > CAPACITY:
-        raise BlockFull("entry does not fit") if used else EntryTooLarge(f"{payload} bytes in a block for {MAX_PAYLOAD}")
+    if payload > MAX_PAYLOAD:
+        raise EntryTooLarge(f"{payload} bytes in a block for {MAX_PAYLOAD}")
+    if used + payload + ENTRY_BYTES > ROOM:
+        raise BlockFull("entry does not fit")
 
 
 def page(flags: list[int], entries: list[bytes]) -> bytes:

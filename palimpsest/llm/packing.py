@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.pages import BLOCK_BYTES, CAPACITY, COUNT_BYTES, ENTRY_BYTES, FLAG_BYTES, MAX_PAYLOAD, OFFSET_BYTES, cut, page
+from palimpsest.functions.pages import BLOCK_BYTES, COUNT_BYTES, ENTRY_BYTES, FLAG_BYTES, MAX_PAYLOAD, OFFSET_BYTES, ROOM, cut, page
 
 PART_ITEMS = 20_000
 PART_BYTES = 16_000_000
@@ -97,7 +97,7 @@ def pack(payloads: list[bytes]) -> list[list[tuple[int, int, int]]]:
     """Blocks as lists of ``(payload, piece, flag)``, each in the order of the entries."""
     pieces = [(i, k, end - start, flag) for i, p in enumerate(payloads) for k, (start, end, flag) in enumerate(cut(len(p)))]
     sizes = np.array([n + ENTRY_BYTES for _, _, n, _ in pieces], dtype=np.int64)
-    order, where, made = best_order(sizes, CAPACITY)
+    order, where, made = best_order(sizes, ROOM)
     blocks: list[list[tuple[int, int, int]]] = [[] for _ in range(made)]
     for j, b in sorted(zip(order.tolist(), where.tolist())):
         i, k, _, flag = pieces[j]
@@ -169,7 +169,7 @@ def packing_report(packed: DataFrame) -> DataFrame:
     ``least_blocks`` is what the entries' bytes would fill without any gap."""
     return packed.groupBy("segment_id").agg(
         F.count("*").alias("blocks"), F.sum("num_entries").alias("entries"), F.sum("used_bytes").alias("used_bytes"),
-        F.ceil(F.sum(F.col("used_bytes") - COUNT_BYTES) / CAPACITY).alias("least_blocks"),
+        F.ceil(F.sum(F.col("used_bytes") - COUNT_BYTES) / ROOM).alias("least_blocks"),
         F.round(100 * F.sum("used_bytes") / (F.count("*") * BLOCK_BYTES), 2).alias("fill_percent"),
     )
 

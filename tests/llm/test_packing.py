@@ -106,3 +106,12 @@ def test_a_large_segment_is_packed_in_parts(spark, monkeypatch):
     assert {r["part"] for r in got} == set(range(6))
     report = packing.packing_report(packing.repack(table(spark, rows))).first()
     assert report["blocks"] <= report["least_blocks"] + 6
+
+
+def test_a_block_is_filled_to_its_last_byte(spark):
+    rows = [(0, 1, [b"a" * 2734, b"b" * 1196, b"c" * 155]), (1, 2, [b"d" * 2044] * 4), (2, 3, [b"e" * 4091])]
+    packed = packing.repack(table(spark, rows))
+    assert sorted((r["segment_id"], r["used_bytes"]) for r in packed.collect()) == [(1, 4096), (2, 4096), (2, 4096), (3, 6), (3, 4095)]
+    assert {r["segment_id"]: r["least_blocks"] for r in packing.packing_report(packed).collect()} == {1: 1, 2: 2, 3: 2}
+    full = [read_page(r["page"]) for r in packing.rendered(packed).filter("segment_id = 1").collect()]
+    assert full == [[(0, b"a" * 2734), (0, b"b" * 1196), (0, b"c" * 155)]]
