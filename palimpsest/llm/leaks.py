@@ -7,7 +7,8 @@ hash-joined with those of the items. What joins is then checked slot by slot:
 
 * all slots equal an item's: its words stand verbatim in the document (:func:`leaked_items`);
 * slots equal no item's, but are filled consistently (slots of the window that are equal in the
-  item are equal in the document, and different ones differ): an item was re-parameterised (:func:`reparameterised_items`).
+  item are equal in the document, and different ones differ): an item was re-parameterised (:func:`reparameterised_items`
+  names one item for each wording, :func:`reparameterised_members` every one, by joining with :func:`wordings`).
 
 Items are the small, stated query set: they are read in blocks of at most ``BLOCK_WINDOWS``
 windows, each block's windows go to all tasks as sorted arrays, and every document is
@@ -18,16 +19,17 @@ of items that share a wording.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.session import spread
@@ -104,15 +106,17 @@ def _pattern(slots: np.ndarray) -> np.ndarray:
 
 
 class ItemIndex:
-    """The windows of a block of items, by their words and by their templates."""
+    """The windows of a block of items, by their words and by their templates.
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
+    ``literals`` are the words that stay literal, else those that enough items of the block use. With
+    the same ``literals`` templates and wordings of several blocks compare.
+    """
+
+    def __init__(self, items: list[tuple[int, list[str]]], literals: list[str] | None = None):
         used = Counter(w for _, ws in items for w in set(ws))
-        self.ids = {w: i + 1 for i, w in enumerate(used)}
-        self.template = np.array(
-            [_NAME, *((i + 1 if used[w] >= LITERAL_ITEMS else _NAME) if (k := _kind(w)) == _NAME else k for i, w in enumerate(used))],
-            dtype=np.int64,
-        )
+        shared = {w for w in used if used[w] >= LITERAL_ITEMS} if literals is None else set(literals)
+        self.ids = {w: i + 1 for i, w in enumerate(dict.fromkeys([*(literals or []), *used]))}
+        self.template = np.array([_NAME, *((i if w in shared else _NAME) if (k := _kind(w)) == _NAME else k for w, i in self.ids.items())], dtype=np.int64)
         long = [(i, np.array([self.ids[w] for w in ws], dtype=np.int64)) for i, ws in items if len(ws) >= WORDS]
         none = np.empty((0, WORDS), np.int64)
         words = np.concatenate([none, *(_windows(r) for _, r in long)])
@@ -121,6 +125,7 @@ class ItemIndex:
         template = np.concatenate([np.empty(0, np.uint64), *(_digest(self.of_template(r)) for _, r in long)])
         order = np.lexsort((item, verbatim))
         self.words, self.item, self.verbatim = words[order], item[order], verbatim[order]
+        self.spelt = self._spelling(self.words)
         # of each template and pattern of equal slots the window of the smallest item
         kinds = np.concatenate([_pattern(words).view(np.uint64), template[:, None]], axis=1) if len(words) else np.empty((0, WORDS + 1), np.uint64)
         order = np.lexsort((item, *kinds.T[:-1], template))
@@ -141,6 +146,22 @@ class ItemIndex:
         same = (self.of_template(_windows(ids)[place]) == self.of_template(self.sample[window])).all(axis=1)
         return place[same], window[same]
 
+    def wordings(self, words: np.ndarray) -> list[np.ndarray]:
+        """Of each row of words its wording: a hash of its template, and its pattern, 4 bits a place."""
+        pattern = _pattern(words) if len(words) else np.empty((0, WORDS), np.int64)
+        return [_digest(self.template[words].ravel())[::WORDS].view(np.int64), (pattern << 4 * np.arange(WORDS)).sum(axis=1)]
+
+    def members(self) -> pa.Table:
+        """``(template, pattern, i)``: every item of every wording with enough literal words."""
+        enough = (self.template[self.words] > 0).sum(axis=1) >= LITERALS
+        rows = np.unique(np.stack([*self.wordings(self.words[enough]), self.item[enough]]), axis=1)
+        return pa.table(list(rows), names=["template", "pattern", "i"])
+
+    def _spelling(self, words: np.ndarray) -> np.ndarray:
+        """A hash of each row of the items' words, the same in every block."""
+        word = np.array([0, *(int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for w in self.ids)])
+        return _digest(word[words].ravel())[::WORDS].view(np.int64)
+
     def equal(self, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slot check for equality: pairs (place, item window) of the very same words."""
         place, window = _equi(_digest(ids), places, self.verbatim)
@@ -173,18 +194,33 @@ class Memo(dict):
         return x
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[ItemIndex]:
+def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, literals: list[str] | None = None) -> Iterator[ItemIndex]:
     block: list[tuple[int, list[str]]] = []
     size = 0
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
-    for i, t in rows.toLocalIterator():
+    for i, t in _items(items, id_col, text_col).toLocalIterator():
         ws = [w.lower() for w in words_of(t)]
         if block and size + len(ws) > BLOCK_WINDOWS:
-            yield ItemIndex(block)
+            yield ItemIndex(block, literals)
             block, size = [], 0
         block.append((i, ws))
         size += len(ws)
-    yield ItemIndex(block)
+    yield ItemIndex(block, literals)
+
+
+def literal_words(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[str]:
+    """The words in lower case that at least ``LITERAL_ITEMS`` of all items use, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(sorted({w.lower() for w in words_of(text)}), pa.string())], names=["w"])
+
+    used = _items(items, item_col, text_col).select("t").mapInArrow(run, "w string").groupBy("w").count()
+    return sorted(r["w"] for r in used.filter(F.col("count") >= LITERAL_ITEMS).collect())
 
 
 def _scan(docs: DataFrame, index: ItemIndex, look, names: list[str], schema: str) -> DataFrame:
@@ -235,6 +271,26 @@ def _consistent(index: ItemIndex, ids: np.ndarray, doc: np.ndarray) -> list[np.n
     return [pairs[0], pairs[1], n.astype(np.int64)]
 
 
+def _by_wording(index: ItemIndex, ids: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """Per document and wording its windows; and, with the item, those of them that are an item's very words."""
+    literal = np.lib.stride_tricks.sliding_window_view(np.cumsum(np.concatenate([[0], index.of_template(ids) > 0])), WORDS + 1)
+    inside = doc[: len(literal)] == doc[WORDS - 1 : WORDS - 1 + len(literal)]
+    place, window = index.joined(ids, inside & (literal[:, -1] - literal[:, 0] >= LITERALS))
+    leaked, own = index.equal(ids, np.unique(place))
+    ok = (_pattern(_windows(ids)[place]) == _pattern(index.sample[window])).all(axis=1) if len(place) else np.empty(0, bool)
+    found, n = np.unique(np.stack([doc[place[ok]], *index.wordings(index.sample[window[ok]])]), axis=1, return_counts=True)
+    leaked, item, own = np.unique(np.stack([leaked, index.item[own], index.spelt[own]]), axis=1)
+    held, m = np.unique(np.stack([doc[leaked], own, item]), axis=1, return_counts=True)
+    none = pa.nulls(len(n), pa.int64())
+    return [
+        np.concatenate([found[0], held[0]]),
+        np.concatenate([found[1], held[1]]),
+        pa.concat_arrays([pa.array(found[2]), pa.nulls(len(m), pa.int64())]),
+        pa.concat_arrays([none, pa.array(held[2])]),
+        np.concatenate([n, m]).astype(np.int64),
+    ]
+
+
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spread(docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).filter("t IS NOT NULL AND t <> ''"))
 
@@ -261,8 +317,8 @@ def reparameterised_items(
     or names put consistently in its slots, and in how many windows of its words.
 
     A window must have ``LITERALS`` literal words, and its words must be no item's own. Of the items
-    of a block that share a window's wording the one of the smallest id stands for all. Nulls, empty
-    texts and empty tables are as in :func:`leaked_items`.
+    of a block that share a window's wording the one of the smallest id stands for all; every item is
+    in :func:`reparameterised_members`. Nulls, empty texts and empty tables are as in :func:`leaked_items`.
     """
     src = _documents(docs, id_col, text_col)
     found = [_scan(src, b, _consistent, ["d", "i", "n"], "d long, i long, n long") for b in _blocks(items, item_col, text_col)]
@@ -274,6 +330,45 @@ def reparameterised_items(
     )
 
 
+def _members(spark: SparkSession, blocks: Iterable[ItemIndex]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [spark.createDataFrame(b.members(), "template long, pattern long, i long") for b in blocks]).distinct()
+
+
+def wordings(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``(template, pattern, item_col)``: the items of every wording of ``WORDS`` words, ``LITERALS`` of them
+    literal. A wording is a template, by its hash, and the pattern of equal slots. Words are literal
+    if ``LITERAL_ITEMS`` of all items use them. Null and empty texts have none."""
+    blocks = _blocks(items, item_col, text_col, literal_words(items, item_col, text_col))
+    return _members(items.sparkSession, blocks).withColumnRenamed("i", item_col)
+
+
+def reparameterised_members(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text"
+) -> DataFrame:
+    """``(id_col, item_col, windows)``: documents that hold an item's wording with other numbers, units
+    or names put consistently in its slots, every such item, and in how many windows of the document.
+
+    A window must have ``LITERALS`` literal words, which are counted over all items. Items that share a
+    wording are all reported, for each of them is the others' re-parameterisation; only where an item's
+    very words stand, it is not. What documents hold is joined with :func:`wordings`, so scanning them
+    takes no longer where many items share a wording. Nulls, empty texts, rows of one id and
+    empty tables are as in :func:`leaked_items`.
+    """
+    src = _documents(docs, id_col, text_col)
+    names, keys = ["d", "w", "p", "i", "n"], ["d", "w", "p", "i"]
+    scans, members = [], []
+    for b in _blocks(items, item_col, text_col, literal_words(items, item_col, text_col)):
+        scans.append(_scan(src, b, _by_wording, names, "d long, w long, p long, i long, n long").groupBy(keys).agg(F.sum("n").alias("n")))
+        members.append(_members(src.sparkSession, [b]))
+    # blocks that share a wording, or an item's words, find the same number
+    found = scans[0] if len(scans) == 1 else reduce(DataFrame.unionByName, scans).groupBy(keys).agg(F.max("n").alias("n"))
+    members = reduce(DataFrame.unionByName, members).distinct().toDF("w", "p", "m")
+    of_item = found.join(members, ["w", "p"]).select("d", F.col("m").alias("i"), "n")
+    held = found.filter("p IS NULL").select("d", "i", (-F.col("n")).alias("n"))
+    total = of_item.unionByName(held).groupBy("d", "i").agg(F.sum("n").alias("windows")).filter("windows > 0")
+    return total.select(F.col("d").alias(id_col), F.col("i").alias(item_col), "windows")
+
+
 def leak_report(pairs: DataFrame, items: DataFrame, item_col: str = "item_id") -> DataFrame:
     """``(item_col, suite, fold, documents)``: in how many documents each item leaked, 0 included."""
     n = pairs.groupBy(item_col).agg(F.count("*").alias("documents"))

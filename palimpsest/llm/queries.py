@@ -49,7 +49,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_reparameterised(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.reparameterised_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leaks.reparameterised_members(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
 def p7_items(spark: SparkSession, folder: str) -> DataFrame:

@@ -113,3 +113,25 @@ def test_whole_tables(spark, data):
     docs, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "eval_items"))
     got = sorted(tuple(r) for r in leaks.leaked_items(docs, items).collect())
     assert got == brute([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.select("item_id", "text").collect()])
+
+
+@pytest.mark.parametrize("block", [200_000, 20])
+def test_every_item_of_a_wording_is_reported(spark, monkeypatch, block):
+    monkeypatch.setattr(leaks, "BLOCK_WINDOWS", block)
+    item = "A train carrying {} leaves {} minutes late; decide which {} arrives at noon and which {} waits"
+    items = [(n, "s", "f", item.format(*x), "") for n, x in enumerate([("salt", 5, "tea", "salt"), ("corn", 9, "rye", "corn"), ("iron", 7, "tin", "iron")])]
+    docs = [
+        (1, "Intro. " + item.format("silk", 77, "wool", "silk"), ""),
+        (2, item.format("silk", 77, "wool", "wool"), ""),
+        (3, item.format("salt", 5, "tea", "salt"), ""),
+        (4, "A train carrying nothing of the kind at all", ""),
+        (5, None, ""),
+    ]
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame([*items, (1, "s", "f", items[1][3], "")], ITEMS)
+    rows = {(r["doc_id"], r["item_id"]): r["windows"] for r in leaks.reparameterised_members(d, i).collect()}
+    # the windows of document 2 without the last slot are filled consistently
+    assert set(rows) == {(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (3, 1), (3, 2)}
+    assert rows[1, 0] == rows[1, 1] == rows[1, 2] == rows[3, 1] == 7 and rows[2, 0] == 5
+    members = leaks.wordings(i).collect()
+    assert len(members) == 21 and {r["item_id"] for r in members} == {0, 1, 2}
+    assert leaks.reparameterised_members(d.limit(0), i).count() == leaks.reparameterised_members(d, i.limit(0)).count() == 0
