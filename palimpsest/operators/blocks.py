@@ -40,18 +40,19 @@ def joined_chunks(parts: DataFrame, id_cols: list[str]) -> DataFrame:
     )
 
 
-def fill_in_order(entries: DataFrame, run: str, order: str, size: Column, capacity: int = CAPACITY) -> DataFrame:
+def fill_in_order(entries: DataFrame, run: str, order: str | list[str], size: Column, capacity: int = CAPACITY) -> DataFrame:
     """Blocks filled one after another, as a writer does: ``run, order, bytes, block_no, slot``.
 
-    Each run's entries go, in ``order``, into the current block while they fit and otherwise open a
+    Each run's entries go, in ``order`` (a column or several), into the current block while they fit and otherwise open a
     new one. Where an entry falls depends on all before it in its run, so a run is one task; only the
     entries' sizes go there. ``size`` is the payload's length; entries longer than a block's payload
     must have been cut (:func:`chunks`), and are given a block of their own here.
     """
-    rows = entries.select(F.col(run).alias("run"), F.col(order).alias("ord"), size.cast("int").alias("bytes")).filter("bytes IS NOT NULL")
+    by = {f"ord{i}": c for i, c in enumerate([order] if isinstance(order, str) else order)}
+    rows = entries.select(F.col(run).alias("run"), *(F.col(c).alias(o) for o, c in by.items()), size.cast("int").alias("bytes")).filter("bytes IS NOT NULL")
 
     def fold(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by("ord")
+        table = pa.Table.from_batches(list(batches)).sort_by([(o, "ascending") for o in by])
         block, slot, used, blocks, slots = 0, -1, 0, [], []
         for n in table.column("bytes").to_pylist():
             if slot >= 0 and used + n + ENTRY_BYTES > capacity:
@@ -64,8 +65,8 @@ def fill_in_order(entries: DataFrame, run: str, order: str, size: Column, capaci
         yield from out.to_batches()
 
     kinds = rows.schema
-    schema = f"run {kinds['run'].dataType.simpleString()}, ord {kinds['ord'].dataType.simpleString()}, bytes int, block_no long, slot int"
-    return rows.groupBy("run").applyInArrow(fold, schema).withColumnsRenamed({"run": run, "ord": order})
+    schema = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ("run", *by)) + ", bytes int, block_no long, slot int"
+    return rows.groupBy("run").applyInArrow(fold, schema).withColumnsRenamed({"run": run, **by})
 
 
 def entries_of(blocks: DataFrame, id_cols: list[str]) -> DataFrame:

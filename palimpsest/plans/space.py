@@ -171,6 +171,14 @@ def block_packing(spark, folder):
     return blocks.fill_in_order(_entry_rows(spark, folder), "segment_id", "place", F.col("bytes"))
 
 
+def block_packing_pieces(spark, folder):
+    """Like block_packing, with every byte: entries longer than a block's payload go in as their pieces."""
+    place = (F.col("block_id") * 65_536 + F.col("slot")).alias("place")
+    rows = blocks.entries_of(_blocks(spark, folder), ["segment_id", "block_id"]).select("segment_id", place, "payload")
+    pieces = blocks.chunks(rows, ["segment_id", "place"], "payload").select("segment_id", "place", "piece", F.octet_length("payload").alias("bytes"))
+    return blocks.fill_in_order(pieces, "segment_id", ["place", "piece"], F.col("bytes"))
+
+
 def block_stats(spark, folder):
     return blocks.block_stats(_blocks(spark, folder), ["block_id"])
 
@@ -227,7 +235,7 @@ QUERIES = {
         current_extents, free_ranges, free_total, used_total, frag_stats, can_allocate, alloc_classify, rightmost_fit, after_allocation,
         coalesce_ranges, delete_extents, compaction_trigger, compaction_candidates, compaction_candidates_all, dirty_pages,
         consolidate_pages, write_ranges, fs_health, journal_entry_size, journal_text, journal_retention, journal_replay, journal_free,
-        journal_next_id, journal_drift, block_chunking, block_packing, block_stats, block_entries, block_entry_at, block_offsets,
+        journal_next_id, journal_drift, block_chunking, block_packing, block_packing_pieces, block_stats, block_entries, block_entry_at, block_offsets,
         block_pages, segment_layout, segment_seek, segment_remaining, segment_stats, stored_index_checks,
     )
 }
@@ -373,6 +381,18 @@ w AS (SELECT segment_id, place, bytes, i, 0::BIGINT AS block_no, 0 AS slot, byte
     CASE WHEN w.used + r.bytes + 3 > 4093 THEN 0 ELSE w.slot + 1 END, CASE WHEN w.used + r.bytes + 3 > 4093 THEN 0 ELSE w.used END + r.bytes + 3
   FROM w JOIN r ON r.segment_id = w.segment_id AND r.i = w.i + 1)
 SELECT segment_id, place, bytes, block_no, slot FROM w""",
+    "block_packing_pieces": """
+WITH RECURSIVE b AS (SELECT DISTINCT * FROM blocks),
+e AS (SELECT segment_id, block_id, unnest(entries) AS p, unnest(range(len(entries))) AS slot FROM b),
+n AS (SELECT segment_id, block_id * 65536 + slot AS place, octet_length(p) AS n FROM e WHERE p IS NOT NULL),
+c AS (SELECT segment_id, place, n, unnest(range(greatest((n + 4089) // 4090, 1))) AS piece FROM n),
+r AS (SELECT segment_id, place, CAST(piece AS INTEGER) AS piece, CAST(least(n - piece * 4090, 4090) AS INTEGER) AS bytes,
+        row_number() OVER (PARTITION BY segment_id ORDER BY place, piece) AS i FROM c),
+w AS (SELECT segment_id, place, piece, bytes, i, 0::BIGINT AS block_no, 0 AS slot, bytes + 3 AS used FROM r WHERE i = 1
+  UNION ALL SELECT r.segment_id, r.place, r.piece, r.bytes, r.i, CASE WHEN w.used + r.bytes + 3 > 4093 THEN w.block_no + 1 ELSE w.block_no END,
+    CASE WHEN w.used + r.bytes + 3 > 4093 THEN 0 ELSE w.slot + 1 END, CASE WHEN w.used + r.bytes + 3 > 4093 THEN 0 ELSE w.used END + r.bytes + 3
+  FROM w JOIN r ON r.segment_id = w.segment_id AND r.i = w.i + 1)
+SELECT segment_id, place, piece, bytes, block_no, slot FROM w""",
     "block_stats": _HELD
     + """ SELECT block_id, CAST(n AS INTEGER) AS entries_held, CAST(2 + 3 * n + y AS INTEGER) AS bytes, CAST(4096 - (2 + 3 * n + y) AS INTEGER) AS remaining,
       n = 0 AS is_empty, 3 * n + y + 3 > 4093 AS is_full, num_entries = n AS count_ok FROM k""",

@@ -97,3 +97,12 @@ def test_files_of_pages(spark, tmp_path):
     raw = read_pages(spark, str(tmp_path))
     got = blocks.decode_pages(raw, ["file", "block_no"]).collect()
     assert sorted((r["file"][-2:], r["block_no"], r["slot"] if r["slot"] is not None else -1) for r in got) == [("s1", 0, 0), ("s1", 0, 1), ("s1", 1, 0), ("s2", 0, 0), ("s2", 1, -1)]
+
+
+def test_pieces_of_a_long_entry_fill_blocks_in_order(spark, tmp_path):
+    from palimpsest.plans.catalog import QUERIES
+
+    rows = [(1, 1, 3, None, [bytearray(b"a" * 9000), None, bytearray(b"b" * 100)]), (2, 1, 1, None, [bytearray(b"c" * 4090)])]
+    spark.createDataFrame(rows, BLOCKS).write.parquet(f"{tmp_path}/blocks.parquet")
+    got = sorted(tuple(r) for r in QUERIES["block_packing_pieces"](spark, str(tmp_path)).select("place", "piece", "bytes", "block_no", "slot").collect())
+    assert got == [(65_536, 0, 4090, 0, 0), (65_536, 1, 4090, 1, 0), (65_536, 2, 820, 2, 0), (65_538, 0, 100, 2, 1), (131_072, 0, 4090, 3, 0)]
