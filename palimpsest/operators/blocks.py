@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.errors import CorruptBlock
@@ -127,6 +127,47 @@ def encode_pages(blocks: DataFrame, id_cols: list[str]) -> DataFrame:
     return rows.mapInArrow(run, f"{ids}, page binary")
 
 
+def lay_out_pages(blocks: DataFrame, id_cols: list[str]) -> DataFrame:
+    """``id_cols, page_no, page``: every block in its byte form, one of more than 4096 bytes in several pages.
+
+    Entries go in order, into the current page while they fit; those longer than a page's payload in
+    pieces. Null entries take no place, and a block without entries is one empty page; null ``entries`` give none.
+    """
+    n = len(id_cols)
+    rows = blocks.filter("entries IS NOT NULL").select(*id_cols, F.filter("entries", lambda e: e.isNotNull()).alias("_entries"))
+
+    def laid_out(entries: list[bytes]) -> list[bytes]:
+        flags, payloads, used, out = [], [], 0, []
+        for e in entries:
+            for start, end, flag in pages.cut(len(e)):
+                if payloads and used + end - start + ENTRY_BYTES > pages.ROOM:
+                    out.append(pages.page(flags, payloads))
+                    flags, payloads, used = [], [], 0
+                flags.append(flag)
+                payloads.append(e[start:end])
+                used += end - start + ENTRY_BYTES
+        return [*out, pages.page(flags, payloads)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [laid_out(e) for e in b.column(n).to_pylist()]
+            at = pa.array([i for i, made in enumerate(raw) for _ in made], pa.int64())
+            numbers = pa.array([k for made in raw for k in range(len(made))], pa.int32())
+            flat = pa.array([p for made in raw for p in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(n)), numbers, flat], names=[*id_cols, "page_no", "page"])
+
+    ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in id_cols)
+    return rows.mapInArrow(run, f"{ids}, page_no int, page binary")
+
+
+def entries_of_pages(raw: DataFrame, id_cols: list[str]) -> DataFrame:
+    """``id_cols, slot, payload``: the entries that :func:`lay_out_pages` laid out, numbered in order, their pieces joined."""
+    found = decode_pages(raw, [*id_cols, "page_no"]).filter("slot IS NOT NULL").withColumn("piece", F.col("page_no").cast("long") * BLOCK_BYTES + F.col("slot"))
+    begun = F.count_if(F.col("flag").isin(pages.COMPLETE, pages.START)).over(Window.partitionBy(*id_cols).orderBy("piece"))
+    parts = found.withColumn("slot", (begun - 1).cast("int"))
+    return joined_chunks(parts, [*id_cols, "slot"]).withColumnRenamed("value", "payload")
+
+
 def decode_pages(raw: DataFrame, id_cols: list[str], page: str = "page") -> DataFrame:
     """``id_cols, slot, flag, payload`` of every entry of raw blocks; a block that cannot be read gives one
     row with null slot, flag and payload."""

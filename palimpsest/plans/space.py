@@ -206,6 +206,12 @@ def block_pages(spark, folder):
     return back.select("block_id", "slot", F.octet_length("payload").alias("bytes"), F.md5("payload").alias("digest")).filter("slot IS NOT NULL")
 
 
+def block_pages_all(spark, folder):
+    """All blocks to bytes and back, full ones and those of several pages too."""
+    back = blocks.entries_of_pages(blocks.lay_out_pages(_blocks(spark, folder), ["block_id"]), ["block_id"])
+    return back.select("block_id", "slot", F.octet_length("payload").alias("bytes"), F.md5("payload").alias("digest"))
+
+
 def segment_layout(spark, folder):
     return segments.layout(_blocks(spark, folder), "segment_id", "block_id", SEGMENT_BYTES)
 
@@ -236,7 +242,7 @@ QUERIES = {
         coalesce_ranges, delete_extents, compaction_trigger, compaction_candidates, compaction_candidates_all, dirty_pages,
         consolidate_pages, write_ranges, fs_health, journal_entry_size, journal_text, journal_retention, journal_replay, journal_free,
         journal_next_id, journal_drift, block_chunking, block_packing, block_packing_pieces, block_stats, block_entries, block_entry_at, block_offsets,
-        block_pages, segment_layout, segment_seek, segment_remaining, segment_stats, stored_index_checks,
+        block_pages, block_pages_all, segment_layout, segment_seek, segment_remaining, segment_stats, stored_index_checks,
     )
 }
 
@@ -406,6 +412,9 @@ SELECT block_id, array_to_string(made, ',') AS "offsets", stored = made AS store
     "block_pages": _HELD
     + """, e AS (SELECT block_id, unnest(list_filter(entries, lambda x: x IS NOT NULL)) AS p, unnest(range(n)) AS slot FROM k WHERE 2 + 3 * n + y < 4096)
       SELECT block_id, CAST(slot AS INTEGER) AS slot, CAST(octet_length(p) AS INTEGER) AS bytes, md5(p) AS digest FROM e""",
+    "block_pages_all": _HELD
+    + """, e AS (SELECT block_id, unnest(list_filter(entries, lambda x: x IS NOT NULL)) AS p, unnest(range(n)) AS slot FROM k)
+      SELECT block_id, CAST(slot AS INTEGER) AS slot, CAST(octet_length(p) AS INTEGER) AS bytes, md5(p) AS digest FROM e""",
     "segment_layout": _LAYOUT + "SELECT * FROM z",
     "segment_seek": _LAYOUT + f"SELECT segment_id, block_no, block_id FROM z WHERE stored AND block_no >= {SEEK_BLOCK}",
     "segment_remaining": _LAYOUT

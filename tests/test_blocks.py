@@ -106,3 +106,13 @@ def test_pieces_of_a_long_entry_fill_blocks_in_order(spark, tmp_path):
     spark.createDataFrame(rows, BLOCKS).write.parquet(f"{tmp_path}/blocks.parquet")
     got = sorted(tuple(r) for r in QUERIES["block_packing_pieces"](spark, str(tmp_path)).select("place", "piece", "bytes", "block_no", "slot").collect())
     assert got == [(65_536, 0, 4090, 0, 0), (65_536, 1, 4090, 1, 0), (65_536, 2, 820, 2, 0), (65_538, 0, 100, 2, 1), (131_072, 0, 4090, 3, 0)]
+
+
+def test_full_and_overfull_blocks_come_back_from_pages(spark):
+    sizes = {1: [2734, 1196, 155], 2: [4000, 0, 91, 4090, 13_000, 7], 3: [], 4: [4091]}
+    df = spark.createDataFrame([(b, 1, 0, None, [None, *(bytearray([i]) * n for i, n in enumerate(ns))]) for b, ns in sizes.items()], BLOCKS)
+    raw = blocks.lay_out_pages(df, ["block_id"])
+    assert {r["block_id"]: r["n"] for r in raw.groupBy("block_id").agg(F.count("*").alias("n")).collect()} == {1: 1, 2: 7, 3: 1, 4: 2}
+    assert {len(r["page"]) for r in raw.collect()} == {4096}
+    got = sorted((r["block_id"], r["slot"], bytes(r["payload"])) for r in blocks.entries_of_pages(raw, ["block_id"]).collect())
+    assert got == [(b, i, bytes([i]) * n) for b, ns in sizes.items() for i, n in enumerate(ns)]
