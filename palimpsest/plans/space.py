@@ -226,6 +226,17 @@ def segment_remaining(spark, folder):
     return segments.remaining(placed, SEEK_BLOCK)
 
 
+def segment_seek_all(spark, folder):
+    """Like segment_seek, in segments of any size."""
+    placed = segments.layout(_blocks(spark, folder), "segment_id", "block_id")
+    return segments.seek(placed, SEEK_BLOCK).select("segment_id", "block_no", "block_id")
+
+
+def segment_remaining_all(spark, folder):
+    """Like segment_remaining, in segments of any size."""
+    return segments.remaining(segments.layout(_blocks(spark, folder), "segment_id", "block_id"), SEEK_BLOCK)
+
+
 def segment_stats(spark, folder):
     stats = blocks.block_stats(_blocks(spark, folder), ["segment_id", "block_id"])
     return segments.segment_stats(stats)
@@ -242,7 +253,8 @@ QUERIES = {
         coalesce_ranges, delete_extents, compaction_trigger, compaction_candidates, compaction_candidates_all, dirty_pages,
         consolidate_pages, write_ranges, fs_health, journal_entry_size, journal_text, journal_retention, journal_replay, journal_free,
         journal_next_id, journal_drift, block_chunking, block_packing, block_packing_pieces, block_stats, block_entries, block_entry_at, block_offsets,
-        block_pages, block_pages_all, segment_layout, segment_seek, segment_remaining, segment_stats, stored_index_checks,
+        block_pages, block_pages_all, segment_layout, segment_seek, segment_seek_all, segment_remaining, segment_remaining_all, segment_stats,
+        stored_index_checks,
     )
 }
 
@@ -419,6 +431,9 @@ SELECT block_id, array_to_string(made, ',') AS "offsets", stored = made AS store
     "segment_seek": _LAYOUT + f"SELECT segment_id, block_no, block_id FROM z WHERE stored AND block_no >= {SEEK_BLOCK}",
     "segment_remaining": _LAYOUT
     + f"SELECT segment_id, count(*) AS blocks, count(*) FILTER (block_no >= {SEEK_BLOCK}) AS blocks_remaining FROM z WHERE stored GROUP BY segment_id",
+    "segment_seek_all": _LAYOUT + f"SELECT segment_id, block_no, block_id FROM y WHERE block_no >= {SEEK_BLOCK}",
+    "segment_remaining_all": _LAYOUT
+    + f"SELECT segment_id, count(*) AS blocks, count(*) FILTER (block_no >= {SEEK_BLOCK}) AS blocks_remaining FROM y GROUP BY segment_id",
     "segment_stats": _HELD
     + """ SELECT segment_id, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS entries, CAST(sum(2 + 3 * n + y) AS BIGINT) AS bytes,
       round(100 * sum(2 + 3 * n + y) / (count(*) * 4096), 2) AS fill_percent, count(*) FILTER (num_entries IS NULL OR num_entries <> n) AS wrong_counts

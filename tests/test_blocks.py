@@ -116,3 +116,11 @@ def test_full_and_overfull_blocks_come_back_from_pages(spark):
     assert {len(r["page"]) for r in raw.collect()} == {4096}
     got = sorted((r["block_id"], r["slot"], bytes(r["payload"])) for r in blocks.entries_of_pages(raw, ["block_id"]).collect())
     assert got == [(b, i, bytes([i]) * n) for b, ns in sizes.items() for i, n in enumerate(ns)]
+
+
+def test_segments_are_read_beyond_a_writers_capacity(spark, tmp_path):
+    from palimpsest.plans.catalog import QUERIES
+
+    spark.createDataFrame([(b, 1, 0, None, []) for b in range(20)], BLOCKS).write.parquet(f"{tmp_path}/blocks.parquet")
+    assert [r["block_no"] for r in QUERIES["segment_seek_all"](spark, str(tmp_path)).collect()] == list(range(3, 20))
+    assert [tuple(r) for r in QUERIES["segment_remaining_all"](spark, str(tmp_path)).collect()] == [(1, 20, 17)]
