@@ -10,7 +10,7 @@ from palimpsest.sources.tables import table
 
 # Parameters of the queries below; the SQL is made from the same values.
 DATA_START = extents.HEADER_BYTES + extents.METADATA_BYTES + extents.JOURNAL_BYTES
-CAPACITY = 1 << 40
+CAPACITY = 1 << 33
 FIT_BYTES = 65_536
 JOURNAL_BYTES = 65_536
 SEGMENT_BYTES = 12 * 4096
@@ -27,11 +27,6 @@ def _free(spark: SparkSession, folder: str) -> DataFrame:
     return extents.free_ranges(_extents(spark, folder), DATA_START, CAPACITY)
 
 
-def _inner(spark: SparkSession, folder: str) -> DataFrame:
-    """Free ranges without the open end of the store."""
-    return _free(spark, folder).filter(F.col("end") < CAPACITY)
-
-
 def _journal(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "journal")
 
@@ -65,23 +60,23 @@ def used_total(spark, folder):
 
 
 def frag_stats(spark, folder):
-    return extents.fragmentation(_inner(spark, folder))
+    return extents.fragmentation(_free(spark, folder))
 
 
 def can_allocate(spark, folder):
-    return extents.can_allocate(_requests(spark, folder), _inner(spark, folder))
+    return extents.can_allocate(_requests(spark, folder), _free(spark, folder))
 
 
 def alloc_classify(spark, folder):
-    return extents.classify_allocation(_requests(spark, folder), _inner(spark, folder))
+    return extents.classify_allocation(_requests(spark, folder), _free(spark, folder))
 
 
 def rightmost_fit(spark, folder):
-    return extents.rightmost_fit(_inner(spark, folder), FIT_BYTES, DATA_START)
+    return extents.rightmost_fit(_free(spark, folder), FIT_BYTES, DATA_START)
 
 
 def after_allocation(spark, folder):
-    free = _inner(spark, folder)
+    free = _free(spark, folder)
     return extents.after_allocation(free, extents.rightmost_fit(free, FIT_BYTES, DATA_START))
 
 
@@ -92,11 +87,11 @@ def coalesce_ranges(spark, folder):
 
 def delete_extents(spark, folder):
     ids = table(spark, folder, "open_extents").select("id")
-    return extents.delete_extents(_extents(spark, folder), _inner(spark, folder), ids)[1]
+    return extents.delete_extents(_extents(spark, folder), _free(spark, folder), ids)[1]
 
 
 def compaction_trigger(spark, folder):
-    return extents.compaction_trigger(_inner(spark, folder), _extents(spark, folder)).withColumn("ratio", F.round("ratio", 9))
+    return extents.compaction_trigger(_free(spark, folder), _extents(spark, folder)).withColumn("ratio", F.round("ratio", 9))
 
 
 def compaction_candidates(spark, folder):
@@ -162,17 +157,7 @@ def block_chunking(spark, folder):
     return rows.select("doc_id", "piece", "flag", F.octet_length("payload").alias("bytes"), F.md5("payload").alias("digest"))
 
 
-def _entry_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = blocks.entries_of(_blocks(spark, folder), ["segment_id", "block_id"])
-    return rows.select("segment_id", (F.col("block_id") * 65_536 + F.col("slot")).alias("place"), F.least(F.octet_length("payload"), F.lit(4090)).alias("bytes"))
-
-
 def block_packing(spark, folder):
-    return blocks.fill_in_order(_entry_rows(spark, folder), "segment_id", "place", F.col("bytes"))
-
-
-def block_packing_pieces(spark, folder):
-    """Like block_packing, with every byte: entries longer than a block's payload go in as their pieces."""
     place = (F.col("block_id") * 65_536 + F.col("slot")).alias("place")
     rows = blocks.entries_of(_blocks(spark, folder), ["segment_id", "block_id"]).select("segment_id", place, "payload")
     pieces = blocks.chunks(rows, ["segment_id", "place"], "payload").select("segment_id", "place", "piece", F.octet_length("payload").alias("bytes"))
@@ -198,15 +183,6 @@ def block_offsets(spark, folder):
 
 
 def block_pages(spark, folder):
-    """Blocks whose entries fit a page, to bytes and back."""
-    rows = _blocks(spark, folder).filter("entries IS NOT NULL")
-    stats = blocks.block_stats(rows, ["block_id"]).filter("remaining > 0").select("block_id")
-    raw = blocks.encode_pages(rows.join(stats, "block_id", "left_semi"), ["block_id"])
-    back = blocks.decode_pages(raw, ["block_id"])
-    return back.select("block_id", "slot", F.octet_length("payload").alias("bytes"), F.md5("payload").alias("digest")).filter("slot IS NOT NULL")
-
-
-def block_pages_all(spark, folder):
     """All blocks to bytes and back, full ones and those of several pages too."""
     back = blocks.entries_of_pages(blocks.lay_out_pages(_blocks(spark, folder), ["block_id"]), ["block_id"])
     return back.select("block_id", "slot", F.octet_length("payload").alias("bytes"), F.md5("payload").alias("digest"))
@@ -217,23 +193,11 @@ def segment_layout(spark, folder):
 
 
 def segment_seek(spark, folder):
-    placed = segments.layout(_blocks(spark, folder), "segment_id", "block_id", SEGMENT_BYTES).filter("stored")
-    return segments.seek(placed, SEEK_BLOCK).select("segment_id", "block_no", "block_id")
-
-
-def segment_remaining(spark, folder):
-    placed = segments.layout(_blocks(spark, folder), "segment_id", "block_id", SEGMENT_BYTES).filter("stored")
-    return segments.remaining(placed, SEEK_BLOCK)
-
-
-def segment_seek_all(spark, folder):
-    """Like segment_seek, in segments of any size."""
     placed = segments.layout(_blocks(spark, folder), "segment_id", "block_id")
     return segments.seek(placed, SEEK_BLOCK).select("segment_id", "block_no", "block_id")
 
 
-def segment_remaining_all(spark, folder):
-    """Like segment_remaining, in segments of any size."""
+def segment_remaining(spark, folder):
     return segments.remaining(segments.layout(_blocks(spark, folder), "segment_id", "block_id"), SEEK_BLOCK)
 
 
@@ -252,8 +216,8 @@ QUERIES = {
         current_extents, free_ranges, free_total, used_total, frag_stats, can_allocate, alloc_classify, rightmost_fit, after_allocation,
         coalesce_ranges, delete_extents, compaction_trigger, compaction_candidates, compaction_candidates_all, dirty_pages,
         consolidate_pages, write_ranges, fs_health, journal_entry_size, journal_text, journal_retention, journal_replay, journal_free,
-        journal_next_id, journal_drift, block_chunking, block_packing, block_packing_pieces, block_stats, block_entries, block_entry_at, block_offsets,
-        block_pages, block_pages_all, segment_layout, segment_seek, segment_seek_all, segment_remaining, segment_remaining_all, segment_stats,
+        journal_next_id, journal_drift, block_chunking, block_packing, block_stats, block_entries, block_entry_at, block_offsets,
+        block_pages, segment_layout, segment_seek, segment_remaining, segment_stats,
         stored_index_checks,
     )
 }
@@ -283,7 +247,7 @@ _FREE = (
     )
     + ", f AS (SELECT * FROM (SELECT e AS s, lead(s) OVER (ORDER BY s) AS e FROM u) WHERE e IS NOT NULL)"
 )
-_INNER = _FREE + f", n AS (SELECT s, e FROM f WHERE e < {CAPACITY})"
+_SPACE = _FREE + ", n AS (SELECT s, e FROM f)"
 _REQ = ", r AS (SELECT id, max(size) * (1 + (id % 1000) * 50) AS size FROM extents WHERE id IS NOT NULL AND size IS NOT NULL GROUP BY id)"
 _FIT = f", t AS (SELECT s, e FROM n WHERE e - s >= {FIT_BYTES} AND s >= {DATA_START} ORDER BY s DESC, e DESC LIMIT 1)"
 _STATS = """SELECT coalesce(CAST(sum(e - s) AS BIGINT), 0) AS total_free_space, count(*) AS free_range_count, coalesce(max(e - s), 0) AS largest_free_block,
@@ -318,24 +282,24 @@ ORACLE = {
     "free_ranges": _FREE + ' SELECT s AS "start", e AS "end" FROM f',
     "free_total": _FREE + " SELECT CAST(coalesce(sum(e - s), 0) AS BIGINT) AS free_bytes FROM f",
     "used_total": _X + " SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS used_bytes FROM x",
-    "frag_stats": _INNER + " " + _STATS + "n",
-    "can_allocate": _INNER + _REQ + " SELECT id, size, coalesce((SELECT max(e - s) FROM n), 0) >= size AS fits FROM r",
-    "alloc_classify": _INNER
+    "frag_stats": _SPACE + " " + _STATS + "n",
+    "can_allocate": _SPACE + _REQ + " SELECT id, size, coalesce((SELECT max(e - s) FROM n), 0) >= size AS fits FROM r",
+    "alloc_classify": _SPACE
     + _REQ
     + """ SELECT id, size, CASE WHEN coalesce((SELECT max(e - s) FROM n), 0) >= size THEN 'ok'
       WHEN size > coalesce((SELECT sum(e - s) FROM n), 0) THEN 'storage exhausted' ELSE 'fragmentation limit' END AS outcome FROM r""",
-    "rightmost_fit": _INNER + _FIT + f' SELECT e - {FIT_BYTES} AS "start", e AS "end", s AS free_start, e AS free_end FROM t',
-    "after_allocation": _INNER
+    "rightmost_fit": _SPACE + _FIT + f' SELECT e - {FIT_BYTES} AS "start", e AS "end", s AS free_start, e AS free_end FROM t',
+    "after_allocation": _SPACE
     + _FIT
     + f""" SELECT s AS "start", e AS "end" FROM n WHERE (s, e) NOT IN (SELECT (s, e) FROM t)
       UNION ALL SELECT s, e - {FIT_BYTES} FROM t WHERE e - s > {FIT_BYTES}""",
     "coalesce_ranges": "WITH j AS (SELECT unnest(free_ranges) AS r FROM journal)"
     + _islands("c", "SELECT r.range_start AS s, r.range_end AS e FROM j")
     + ' SELECT s AS "start", e AS "end" FROM c',
-    "delete_extents": _INNER
+    "delete_extents": _SPACE
     + _islands("c", "SELECT s, e FROM n UNION ALL SELECT range_start, range_end FROM x WHERE id IN (SELECT id FROM open_extents WHERE id IS NOT NULL)")
     + ' SELECT s AS "start", e AS "end" FROM c',
-    "compaction_trigger": _INNER
+    "compaction_trigger": _SPACE
     + f""", q AS ({_STATS} n) SELECT ratio, ratio >= 0.3 AS due FROM (SELECT round(coalesce(free_range_count * average_fragment_size /
       nullif(total_free_space + (SELECT coalesce(sum(size), 0) FROM x), 0), 0), 9) AS ratio FROM q)""",
     "compaction_candidates": _X
@@ -392,16 +356,6 @@ SELECT doc_id, CAST(piece AS INTEGER) AS piece, CASE WHEN n = 1 THEN 0 WHEN piec
     "block_packing": """
 WITH RECURSIVE b AS (SELECT DISTINCT * FROM blocks),
 e AS (SELECT segment_id, block_id, unnest(entries) AS p, unnest(range(len(entries))) AS slot FROM b),
-r AS (SELECT segment_id, block_id * 65536 + slot AS place, CAST(least(octet_length(p), 4090) AS INTEGER) AS bytes,
-        row_number() OVER (PARTITION BY segment_id ORDER BY block_id * 65536 + slot) AS i FROM e WHERE p IS NOT NULL),
-w AS (SELECT segment_id, place, bytes, i, 0::BIGINT AS block_no, 0 AS slot, bytes + 3 AS used FROM r WHERE i = 1
-  UNION ALL SELECT r.segment_id, r.place, r.bytes, r.i, CASE WHEN w.used + r.bytes + 3 > 4093 THEN w.block_no + 1 ELSE w.block_no END,
-    CASE WHEN w.used + r.bytes + 3 > 4093 THEN 0 ELSE w.slot + 1 END, CASE WHEN w.used + r.bytes + 3 > 4093 THEN 0 ELSE w.used END + r.bytes + 3
-  FROM w JOIN r ON r.segment_id = w.segment_id AND r.i = w.i + 1)
-SELECT segment_id, place, bytes, block_no, slot FROM w""",
-    "block_packing_pieces": """
-WITH RECURSIVE b AS (SELECT DISTINCT * FROM blocks),
-e AS (SELECT segment_id, block_id, unnest(entries) AS p, unnest(range(len(entries))) AS slot FROM b),
 n AS (SELECT segment_id, block_id * 65536 + slot AS place, octet_length(p) AS n FROM e WHERE p IS NOT NULL),
 c AS (SELECT segment_id, place, n, unnest(range(greatest((n + 4089) // 4090, 1))) AS piece FROM n),
 r AS (SELECT segment_id, place, CAST(piece AS INTEGER) AS piece, CAST(least(n - piece * 4090, 4090) AS INTEGER) AS bytes,
@@ -422,17 +376,11 @@ k AS (SELECT block_id, "offsets", list_transform(list_filter(entries, lambda x:
 o AS (SELECT block_id, "offsets" AS stored, list_transform(range(1, len(z) + 1), lambda i: CAST(list_sum(z[1:i]) AS INTEGER)) AS made FROM k)
 SELECT block_id, array_to_string(made, ',') AS "offsets", stored = made AS stored_ok FROM o""",
     "block_pages": _HELD
-    + """, e AS (SELECT block_id, unnest(list_filter(entries, lambda x: x IS NOT NULL)) AS p, unnest(range(n)) AS slot FROM k WHERE 2 + 3 * n + y < 4096)
-      SELECT block_id, CAST(slot AS INTEGER) AS slot, CAST(octet_length(p) AS INTEGER) AS bytes, md5(p) AS digest FROM e""",
-    "block_pages_all": _HELD
     + """, e AS (SELECT block_id, unnest(list_filter(entries, lambda x: x IS NOT NULL)) AS p, unnest(range(n)) AS slot FROM k)
       SELECT block_id, CAST(slot AS INTEGER) AS slot, CAST(octet_length(p) AS INTEGER) AS bytes, md5(p) AS digest FROM e""",
     "segment_layout": _LAYOUT + "SELECT * FROM z",
-    "segment_seek": _LAYOUT + f"SELECT segment_id, block_no, block_id FROM z WHERE stored AND block_no >= {SEEK_BLOCK}",
+    "segment_seek": _LAYOUT + f"SELECT segment_id, block_no, block_id FROM y WHERE block_no >= {SEEK_BLOCK}",
     "segment_remaining": _LAYOUT
-    + f"SELECT segment_id, count(*) AS blocks, count(*) FILTER (block_no >= {SEEK_BLOCK}) AS blocks_remaining FROM z WHERE stored GROUP BY segment_id",
-    "segment_seek_all": _LAYOUT + f"SELECT segment_id, block_no, block_id FROM y WHERE block_no >= {SEEK_BLOCK}",
-    "segment_remaining_all": _LAYOUT
     + f"SELECT segment_id, count(*) AS blocks, count(*) FILTER (block_no >= {SEEK_BLOCK}) AS blocks_remaining FROM y GROUP BY segment_id",
     "segment_stats": _HELD
     + """ SELECT segment_id, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS entries, CAST(sum(2 + 3 * n + y) AS BIGINT) AS bytes,
