@@ -15,8 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.times import utc_micros, utc_month
+
 RANGE_BITS = 13
 BATCH_ROWS = 20_000
+#: Over so many partitions the references of one range spread on their way into batches.
+SALTS = 32
 
 _FAR = 2**62
 
@@ -84,29 +88,30 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
         .groupBy("range")
         .agg(F.sort_array(F.collect_list("p")).alias("parents"))
     )
-    refs = refs.withColumn("range", span("ref_id"))
+    # every row has a salt of its own, so neither a hot range nor exact repeats of a reference meet in one place
+    refs = refs.withColumn("range", span("ref_id")).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    refs = refs.withColumn("way", F.pmod("salt", F.lit(SALTS)))
     width = refs.groupBy("range").agg(F.ceil(F.count("*") / BATCH_ROWS).alias("batches"))
+    width = width.withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     batched = (
-        refs.join(width, "range")
-        .withColumn("batch", F.pmod(F.xxhash64("ref_table", "ref_key", "at"), F.col("batches")))
+        refs.join(width, ["range", "way"])
+        .withColumn("batch", F.pmod(F.shiftright("salt", 8), F.col("batches")))
         .groupBy("range", "batch")
         .agg(F.collect_list(F.struct("ref_table", "ref_key", "ref_id", "at")).alias("refs"))
     )
     found = batched.join(arrays, "range", "left").select("refs", "parents").mapInArrow(
         _misses, "ref_table string, ref_key long, at long, reason string"
     )
-    month = F.date_format(F.timestamp_micros("at"), "yyyy-MM")
-    return found.select("ref_table", "ref_key", F.coalesce(month, F.lit("unknown")).alias("period"), "reason")
+    return found.select("ref_table", "ref_key", F.coalesce(utc_month("at"), F.lit("unknown")).alias("period"), "reason")
 
 
 def store_references(journal: DataFrame, open_extents: DataFrame, segment_index: DataFrame) -> DataFrame:
     """The references of the three metadata tables to extents."""
     seconds = F.col("entry_time") * 1_000_000
-    stamp = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return (
         reference(journal.filter(F.col("entry_type").isin(1, 2, 3)), "journal", "seq", "frange_id", seconds)
-        .unionByName(reference(open_extents, "open_extents", "handle_id", "id", stamp("opened_at")))
-        .unionByName(reference(segment_index, "segment_index", "row_id", "id", stamp("written_at")))
+        .unionByName(reference(open_extents, "open_extents", "handle_id", "id", utc_micros(open_extents, "opened_at")))
+        .unionByName(reference(segment_index, "segment_index", "row_id", "id", utc_micros(segment_index, "written_at")))
     )
 
 

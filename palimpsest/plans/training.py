@@ -14,7 +14,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_namespace_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return skew.namespace_profile(table(spark, folder, "version_log"), table(spark, folder, "segment_index"))
+    """The products may have 38 digits; they are written out."""
+    found = skew.namespace_profile(table(spark, folder, "version_log"), table(spark, folder, "segment_index"))
+    return found.select("ns", "log_rows", "index_entries", *(F.col(c).cast("string").alias(c) for c in ("pairs", "val_bytes", "blocks")))
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,8 +63,8 @@ SELECT in_table, ns FROM n QUALIFY n * 20 >= sum(n) OVER (PARTITION BY in_table)
 WITH l AS (SELECT coalesce(ns, 0) AS ns, count(*) AS n, coalesce(sum(octet_length(val)), 0) AS v FROM version_log GROUP BY ALL),
 r AS (SELECT coalesce(e.ns, 0) AS ns, count(*) AS n, coalesce(sum(e.block_offset // 4096), 0) AS b
       FROM (SELECT unnest(ns_offsets) AS e FROM segment_index) GROUP BY ALL)
-SELECT l.ns, l.n AS log_rows, r.n AS index_entries, l.n * r.n AS pairs,
-       CAST(l.v * r.n AS BIGINT) AS val_bytes, CAST(r.b * l.n AS BIGINT) AS blocks
+SELECT l.ns, l.n AS log_rows, r.n AS index_entries, CAST(l.n::HUGEINT * r.n AS VARCHAR) AS pairs,
+       CAST(l.v::HUGEINT * r.n AS VARCHAR) AS val_bytes, CAST(r.b::HUGEINT * l.n AS VARCHAR) AS blocks
 FROM l JOIN r ON l.ns = r.ns
 """,
     "p4_found": _P4 + "SELECT ref_table, ref_key, period FROM bad WHERE reason IS NOT NULL",

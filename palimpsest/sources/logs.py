@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.times import utc_micros
 from palimpsest.model import conform
 
 
-def nanos(ts: Column) -> Column:
-    """Nanoseconds since the epoch of a timestamp, zone-less ones taken in the session's zone."""
-    return F.unix_micros(ts.cast("timestamp")) * 1000
+def nanos(rows: DataFrame, column: str) -> Column:
+    """Nanoseconds since the epoch of a timestamp column, zone-less ones in UTC."""
+    return utc_micros(rows, column) * 1000
 
 
 # Namespaces of the event types; one lies above a byte's range.
@@ -25,7 +26,7 @@ def from_events(events: DataFrame) -> DataFrame:
         ns = F.when(kind == name, n).otherwise(ns)
     return conform(
         events.select(
-            ns.alias("ns"), F.col("user_id").cast("string").cast("binary").alias("key"), nanos(F.col("ts")).alias("ts"), kind.cast("binary").alias("value"),
+            ns.alias("ns"), F.col("user_id").cast("string").cast("binary").alias("key"), nanos(events, "ts").alias("ts"), kind.cast("binary").alias("value"),
             F.coalesce(kind == "error", F.lit(False)).alias("is_delete"), F.col("event_id").alias("seq"), F.pmod("event_id", F.lit(8)).alias("src"),
         )
     )
@@ -35,7 +36,7 @@ def from_orders(orders: DataFrame) -> DataFrame:
     """A log of customers' order states; several orders of a day share a version time."""
     return conform(
         orders.select(
-            F.lit(0).alias("ns"), F.col("o_custkey").cast("string").cast("binary").alias("key"), nanos(F.col("o_orderdate")).alias("ts"),
+            F.lit(0).alias("ns"), F.col("o_custkey").cast("string").cast("binary").alias("key"), nanos(orders, "o_orderdate").alias("ts"),
             F.col("o_orderstatus").cast("binary").alias("value"), F.lit(False).alias("is_delete"), F.col("o_orderkey").alias("seq"), F.pmod("o_orderkey", F.lit(4)).alias("src"),
         )
     )

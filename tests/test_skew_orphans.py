@@ -27,6 +27,16 @@ def test_joined_states_equal_the_join_of_rows(spark):
     got = {r["key"]: (r["pairs"], r["v"], r["w"]) for r in skew.joined_states(l, r, ("v",), ("w",)).collect()}
     rows = left.alias("a").join(right.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k"))).groupBy("a.k").agg(F.count("*").alias("n"), F.sum("v").alias("v"), F.sum("w").alias("w"))
     assert got == {r["k"]: (r["n"], r["v"], r["w"]) for r in rows.collect()}
+    outer = {r["key"]: (r["left_n"], r["right_n"], r["pairs"]) for r in skew.joined_states(l, r, how="full_outer").collect()}
+    assert outer == {None: (1, 1, 1), 1: (3, 2, 6), 2: (1, 0, 0), 3: (0, 1, 0)}
+
+
+def test_sums_over_joined_rows_do_not_overflow(spark):
+    state = lambda n, c, v: spark.createDataFrame([(7, n, v)], f"key long, n long, {c} long").withColumn(c, F.col(c).cast("decimal(38,0)"))
+    got = skew.joined_states(state(10**11, "v", 10**13), state(10**6, "w", 10**9), ("v",), ("w",)).first()
+    assert (int(got["pairs"]), int(got["v"]), int(got["w"])) == (10**17, 10**19, 10**20)
+    big = spark.createDataFrame([(1, 2**62)] * 4, "k long, v long")
+    assert int(skew.key_states(big, F.col("k"), {"v": F.col("v")}).first()["v"]) == 2**64
 
 
 def us(s):
@@ -57,6 +67,31 @@ def test_orphans(spark):
     assert orphans.orphans(refs.limit(0), parents).count() == 0
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Kolkata"])
+def test_periods_are_in_utc_in_any_session_zone(spark, zone):
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        stamps = ["2025-03-01 00:30:00.000001", "2025-02-28 23:59:59.999999", "1969-12-31 23:59:59.5", "2024-11-03 08:30:00"]
+        rows = spark.createDataFrame([(i, 9, s) for i, s in enumerate(stamps)] + [(7, 9, None)], "handle_id long, id long, s string")
+        opened = rows.select("handle_id", "id", F.col("s").cast("timestamp_ntz").alias("opened_at"))
+        journal = spark.createDataFrame([(1, 1, us("2025-03-01T00:00:00") // 10**6, 9), (2, 1, us("2025-02-28T23:59:59") // 10**6, 9)], "seq long, entry_type tinyint, entry_time long, frange_id long")
+        index = opened.select(F.col("handle_id").alias("row_id"), "id", F.col("opened_at").cast("timestamp_ntz").alias("written_at")).limit(0)
+        refs = orphans.store_references(journal, opened, index)
+        got = {(r["ref_table"], r["ref_key"]): r["period"] for r in orphans.orphans(refs, spark.createDataFrame([], EXTENTS)).collect()}
+        assert got == {("open_extents", 0): "2025-03", ("open_extents", 1): "2025-02", ("open_extents", 2): "1969-12", ("open_extents", 3): "2024-11", ("open_extents", 7): "unknown", ("journal", 1): "2025-03", ("journal", 2): "2025-02"}
+        at = {r["ref_key"]: r["at"] for r in refs.filter("ref_table = 'open_extents'").collect()}
+        assert at[0] == us("2025-03-01T00:30:00") + 1 and at[2] == -500_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+
+
+def test_repeated_references_spread_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "BATCH_ROWS", 10)
+    refs = spark.range(500).select(F.lit("t").alias("ref_table"), F.lit(1).cast("long").alias("ref_key"), F.lit(3).cast("long").alias("ref_id"), F.lit(5).cast("long").alias("at"))
+    assert orphans.orphans(refs, spark.createDataFrame([], EXTENTS)).count() == 500
+
+
 def test_a_hot_range_is_probed_in_many_batches(spark, monkeypatch):
     monkeypatch.setattr(orphans, "BATCH_ROWS", 50)
     refs = spark.range(1000).select(F.lit("t").alias("ref_table"), F.col("id").alias("ref_key"), F.when(F.col("id") % 2 == 0, 4).otherwise(5).cast("long").alias("ref_id"), F.lit(None).cast("long").alias("at"))
