@@ -1,20 +1,27 @@
 """A durable store of versions: sorted runs in Parquet under an atomically advanced manifest.
 
 Single puts gather in the driver until they are synced; batches of any size are tables and go
-straight to a run of their own. A manifest names the runs that exist; the next one is created
-exclusively under the next number, so of two writers the second fails and nothing is half
-seen. Reads are plans over all runs and the unsynced rows.
+straight to a run of their own. A manifest names the runs that exist; the next one is written
+aside and renamed to the next number, which fails if that exists, so of two writers the second
+fails and nothing is half seen. That asks for a file system whose rename is atomic and refuses
+an existing target, as HDFS and local ones do. Reads are plans over all runs and the unsynced rows.
+
+Once there are many runs, the smallest neighbouring ones are merged. Merging keeps every
+version; history is dropped only by :meth:`Store.compact` with a horizon, or without one of
+all that is no newest version. Files of merged runs stay for a while, for readers whose plans
+name them.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.clock import Clock, HybridClock, stamp
@@ -33,7 +40,7 @@ class Files:
     """Small files and renames on whatever file system a path names."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self._jvm = spark._jvm
+        self._jvm, self._gateway = spark._jvm, spark.sparkContext._gateway
         self._conf = spark._jsc.hadoopConfiguration()
         self.root = path.rstrip("/")
 
@@ -42,18 +49,22 @@ class Files:
         return p.getFileSystem(self._conf), p
 
     def create(self, name: str, text: str) -> bool:
-        """Write a file that must not exist yet; whether it was written."""
-        fs, p = self._at(name)
-        if fs.exists(p):
-            return False
+        """Write a file that must not exist yet, whole or not at all; whether it was written."""
+        fs, target = self._at(name)
+        _, aside = self._at(f"{name}.{uuid.uuid4().hex}.tmp")
+        out = fs.create(aside, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri() if aside.toUri().getScheme() else fs.getUri(), self._conf)
+        options = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = getattr(self._jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
         try:
-            out = fs.create(p, False)
+            files.rename(aside, target, options)
         except Exception as e:
-            if "AlreadyExists" in str(e) or "already exists" in str(e):
+            fs.delete(aside, False)
+            if fs.exists(target) and ("AlreadyExists" in str(e) or "already exists" in str(e)):
                 return False
             raise
-        out.write(bytearray(text.encode()))
-        out.close()
         return True
 
     def read(self, name: str) -> str:
@@ -80,20 +91,26 @@ class Manifest:
         self.files, self.folder, self.number = files, folder, 0
 
     def load(self) -> dict | None:
+        """The newest state that can be read; one that was torn by a crash is passed over."""
         names = [n for n in self.files.names(self.folder) if n.endswith(".json")]
-        if not names:
-            return None
-        self.number = int(names[-1][:-5])
-        state = json.loads(self.files.read(f"{self.folder}/{names[-1]}"))
-        if state.get("format") != FORMAT:
-            raise InvalidHeader(f"format {state.get('format')!r}")
-        return state
+        for name in reversed(names):
+            try:
+                state = json.loads(self.files.read(f"{self.folder}/{name}"))
+            except ValueError:
+                continue
+            if state.get("format") != FORMAT:
+                raise InvalidHeader(f"format {state.get('format')!r}")
+            self.number = int(names[-1][:-5])
+            return state
+        if names:
+            raise InvalidHeader("no state can be read")
+        return None
 
     def commit(self, state: dict) -> None:
         if not self.files.create(f"{self.folder}/{self.number + 1:012d}.json", json.dumps(state | {"format": FORMAT})):
             raise StaleManifest(f"state {self.number + 1} exists already")
         self.number += 1
-        for old in self.files.names(self.folder)[:-3]:
+        for old in [n for n in self.files.names(self.folder) if n.endswith(".json")][:-3]:
             self.files.delete(f"{self.folder}/{old}")
 
 
@@ -101,13 +118,17 @@ class Manifest:
 class StoreOptions:
     """``run_bytes`` limits the unsynced rows (as :func:`palimpsest.functions.codecs.run_bytes` counts);
     with ``rotate`` a full run is synced and a new one begun, else a put that does not fit raises.
-    From ``max_runs`` runs on, a sync compacts."""
+    From ``max_runs`` runs on, writing merges the smallest neighbouring ones, all versions kept. A run
+    that was replaced stays on disk for ``grace_seconds``. A file of a run holds
+    ``records_per_file`` rows at most (0: no limit), in row groups of ``block_bytes``, each with its statistics."""
 
     clock: Clock = field(default_factory=HybridClock)
     run_bytes: int = 512 << 20
     max_runs: int = 16
     rotate: bool = True
     records_per_file: int = 0
+    grace_seconds: float = 3600.0
+    block_bytes: int = 128 << 20
 
 
 class Store:
@@ -118,7 +139,7 @@ class Store:
         self.path = path.rstrip("/")
         self._files = Files(spark, self.path)
         self._manifest = Manifest(self._files, "manifest")
-        state = self._manifest.load() or {"runs": [], "next_seq": 1, "next_src": 0, "high_water": 0, "batches": {}}
+        state = self._manifest.load() or {"runs": [], "next_seq": 1, "next_src": 0, "high_water": 0, "batches": {}, "replaced": []}
         self._state = state
         clock = self.options.clock
         if isinstance(clock, HybridClock) and clock.high_water < state["high_water"]:
@@ -188,25 +209,26 @@ class Store:
         """Write a table of operations ``(op, ns, key, ts, value)`` or of log rows as a run of its own.
 
         Without ``ts`` the rows are stamped by the clock in ``order``. A ``batch_id`` is written once:
-        a second call with it does nothing and returns False.
+        a second call with it does nothing and returns False. Ids that are a name and a number,
+        ``name-7``, must be given in ascending order, as a stream does; of them the last number is kept.
         """
         self._writable()
-        if batch_id is not None and batch_id in self._state["batches"]:
+        stream, number = _stream_batch(batch_id)
+        last = self._state["batches"].get(stream)
+        if stream is not None and last is not None and (number is None or number <= last):
             return False
-        n = rows.count()
         if "ts" not in rows.columns:
             clock = self.options.clock
-            base = clock.reserve(n) if isinstance(clock, HybridClock) else clock.time()
+            base = clock.reserve(rows.count()) if isinstance(clock, HybridClock) else clock.time()
             rows = stamp(rows, base, [order or "key"])
-        seq = self._state["next_seq"]
         by = order or ("seq" if "seq" in rows.columns else "ts")
-        rows = stamp_seq(rows, by, seq)
+        rows = stamp_seq(rows, by, self._state["next_seq"])
         log = writes.normalise_batch(rows) if "op" in rows.columns else writes.conform(rows)
-        self._state["next_seq"] = seq + n
-        self._add_run(log)
-        if batch_id is not None:
-            self._state["batches"][batch_id] = True
+        self._state["next_seq"] = max(self._state["next_seq"], self._add_run(log) + 1)
+        if stream is not None:
+            self._state["batches"][stream] = True if number is None else number
         self._commit()
+        self._merge_small()
         return True
 
     def freeze(self) -> None:
@@ -227,13 +249,13 @@ class Store:
 
     # reads
 
+    def _stored(self, runs: list[dict]) -> DataFrame:
+        return self.spark.read.schema(LOG).parquet(*(f"{self.path}/{r['path']}" for r in runs)) if runs else empty_log(self.spark)
+
     def log(self) -> DataFrame:
         """All versions, synced or not."""
         runs = [r["path"] for r in self._state["runs"]]
-        if self._cached is not None and self._cached[0] == runs:
-            stored = self._cached[1]
-        else:
-            stored = self.spark.read.schema(LOG).parquet(*(f"{self.path}/{p}" for p in runs)) if runs else empty_log(self.spark)
+        stored = self._cached[1] if self._cached is not None and self._cached[0] == runs else self._stored(self._state["runs"])
         return stored.unionByName(self._unsynced()) if self._pending else stored
 
     def cache(self) -> None:
@@ -241,7 +263,7 @@ class Store:
         self.clear_cache()
         runs = [r["path"] for r in self._state["runs"]]
         if runs:
-            self._cached = (runs, self.spark.read.schema(LOG).parquet(*(f"{self.path}/{p}" for p in runs)).persist())
+            self._cached = (runs, self._stored(self._state["runs"]).persist())
 
     def clear_cache(self) -> None:
         if self._cached is not None:
@@ -296,27 +318,56 @@ class Store:
     def sync(self) -> None:
         """Make all writes durable."""
         if self._pending:
-            self._add_run(self._unsynced())
-            self._pending, self._pending_bytes = [], 0
+            self._flush()
             self._commit()
-        if len(self._state["runs"]) >= self.options.max_runs:
-            self.compact()
+        self._merge_small()
 
-    def compact(self, keep_history: bool = False) -> None:
-        """Rewrite all runs as one: the newest version of every key, without tombstones, or with
-        ``keep_history`` all versions."""
+    def _flush(self) -> None:
         if self._pending:
             self._add_run(self._unsynced())
             self._pending, self._pending_bytes = [], 0
-        old = self._state["runs"]
-        if not old:
-            return
-        rows = self.log() if keep_history else merging.compact(self.log(), drop_tombstones=True)
-        self._state["runs"] = []
-        self._add_run(rows)
+
+    def _merge_small(self) -> None:
+        """While there are ``max_runs`` runs or more, merge half of them: those neighbours in the order of runs
+        that hold the fewest rows. A large run is so rewritten only after as much was written again."""
+        most = max(self.options.max_runs, 2)
+        while len(self._state["runs"]) >= most:
+            runs, n = self._state["runs"], most // 2 + 1
+            at = min(range(len(runs) - n + 1), key=lambda i: sum(r["rows"] for r in runs[i : i + n]))
+            self._replace(at, at + n, self._stored(runs[at : at + n]))
+
+    def _replace(self, first: int, last: int, rows: DataFrame) -> None:
+        """Put one run of ``rows`` in the place of the runs from ``first`` to ``last``; their files stay for a while."""
+        runs, now = self._state["runs"], time.time()
+        self._add_run(rows, place=(first, last))
+        self._state["replaced"] = [*self._state.get("replaced", []), *({"path": r["path"], "at": now} for r in runs[first:last])]
         self._commit()
-        for r in old:
+        self._sweep()
+
+    def _sweep(self) -> None:
+        """Delete the files of runs that were replaced long enough ago."""
+        limit = time.time() - self.options.grace_seconds
+        gone = [r for r in self._state["replaced"] if r["at"] <= limit]
+        for r in gone:
             self._files.delete(r["path"])
+        self._state["replaced"] = [r for r in self._state["replaced"] if r["at"] > limit]
+
+    def compact(self, keep_history: bool = False, horizon: int | None = None) -> None:
+        """Rewrite all runs as one.
+
+        With ``keep_history`` all versions stay. Otherwise, of the versions at or before ``horizon`` (default:
+        of all), only each key's newest stays, and not that either if it is a tombstone: what was read
+        as of the horizon or later is read still, what was read as of earlier times is not.
+        """
+        self._flush()
+        if not self._state["runs"]:
+            return
+        rows = self._stored(self._state["runs"])
+        if not keep_history:
+            old, new = (rows, None) if horizon is None else (rows.filter(F.col("ts") <= horizon), rows.filter(F.col("ts") > horizon))
+            rows = merging.compact(old, drop_tombstones=True)
+            rows = rows if new is None else rows.unionByName(new)
+        self._replace(0, len(self._state["runs"]), rows)
 
     def close(self) -> None:
         """Sync and refuse all further writes."""
@@ -325,15 +376,23 @@ class Store:
             self.clear_cache()
             self._closed = True
 
-    def _add_run(self, rows: DataFrame) -> None:
-        src = self._state["next_src"]
+    def _add_run(self, rows: DataFrame, place: tuple[int, int] | None = None) -> int:
+        """Write a run, at the end or in ``place`` of others; the largest sequence number in it, or 0."""
+        runs = self._state["runs"]
+        first, last = place or (len(runs), len(runs))
+        src = self._state["next_src"] if place is None else runs[last - 1]["src"]
         name = f"runs/{src:08d}-{uuid.uuid4().hex}"
-        writer = merging.sorted_run(rows.withColumn("src", F.lit(src)).select(*COLUMNS)).write.option("parquet.bloom.filter.enabled#key", "true")
+        seen = Observation()
+        laid_out = merging.sorted_run(rows.withColumn("src", F.lit(src)).select(*COLUMNS))
+        # beyond the sort, which looks at its input twice
+        writer = laid_out.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("seq").alias("seq")).write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.block.size", self.options.block_bytes)
         if self.options.records_per_file:
             writer = writer.option("maxRecordsPerFile", self.options.records_per_file)
         writer.parquet(f"{self.path}/{name}")
-        self._state["runs"] = [*self._state["runs"], {"src": src, "path": name}]
-        self._state["next_src"] = src + 1
+        self._state["runs"] = [*runs[:first], {"src": src, "path": name, "rows": seen.get["rows"]}, *runs[last:]]
+        if place is None:
+            self._state["next_src"] = src + 1
+        return seen.get["seq"] or 0
 
     def _commit(self) -> None:
         clock = self.options.clock
@@ -345,3 +404,11 @@ class Store:
 def stamp_seq(rows: DataFrame, order: str, first: int) -> DataFrame:
     """``rows`` with ``seq`` = ``first`` + place in ``order``."""
     return with_position(rows.withColumn("_by", F.col(order)).drop("seq"), [F.col("_by")], "seq", first=first).drop("_by")
+
+
+def _stream_batch(batch_id: str | None) -> tuple[str | None, int | None]:
+    """A batch id's stream and number; an id without a number is a stream of one."""
+    if batch_id is None:
+        return None, None
+    name, _, number = batch_id.rpartition("-")
+    return (name, int(number)) if name and number.isdigit() else (batch_id, None)

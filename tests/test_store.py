@@ -105,6 +105,70 @@ def test_store_equals_a_dictionary(spark, tmp_path, seed):
     assert len(s.runs) <= 3
 
 
+def test_history_survives_any_number_of_syncs(spark, tmp_path):
+    few, many = Store(spark, str(tmp_path / "few"), StoreOptions(max_runs=4)), Store(spark, str(tmp_path / "many"), StoreOptions(max_runs=1000))
+    for n in range(13):
+        for s in (few, many):
+            s.batch([("put_ns", 1, b"k", 10 + n, b"v%d" % n), ("delete_ns" if n % 2 else "put_ns", 1, b"d", 10 + n, None if n % 2 else b"w")])
+            s.sync()
+    assert len(few.runs) < 4 and len(many.runs) == 13
+    rows = lambda s: sorted((r["ts"], bytes(r["key"]), r["value"], r["is_delete"], r["seq"]) for r in s.log().collect())
+    assert rows(few) == rows(many) and len(rows(few)) == 26
+    for ts in (9, 10, 15, 22):
+        state = lambda s: sorted((bytes(r["key"]), r["value"]) for r in s.as_of(ts).collect())  # noqa: B023, E731
+        assert state(few) == state(many)
+    assert sum(r["rows"] for r in few.runs) == 26
+    again = Store(spark, str(tmp_path / "few"))
+    assert bytes(again.as_of(10).filter("key = X'6B'").first()["value"]) == b"v0"
+
+
+def test_history_is_dropped_up_to_a_horizon(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    s.batch([("put_ns", 1, b"k", 10, b"a"), ("put_ns", 1, b"k", 20, b"b"), ("put_ns", 1, b"k", 30, b"c"), ("put_ns", 1, b"d", 10, b"x"), ("delete_ns", 1, b"d", 15, None)])
+    s.compact(horizon=25)
+    assert sorted((bytes(r["key"]), r["ts"]) for r in s.log().collect()) == [(b"k", 20), (b"k", 30)]
+    assert bytes(s.as_of(25).first()["value"]) == b"b"
+    s.compact(keep_history=True)
+    assert s.log().count() == 2
+    s.compact()
+    assert [r["ts"] for r in s.log().collect()] == [30]
+
+
+def test_readers_keep_the_files_their_plans_name(spark, tmp_path):
+    s = Store(spark, str(tmp_path), StoreOptions(grace_seconds=1000))
+    for n in range(3):
+        s.put(b"k", b"%d" % n)
+        s.sync()
+    plan = s.log()
+    s.compact()
+    assert plan.count() == 3 and s.log().count() == 1
+    s.options.grace_seconds = 0
+    s.put(b"k", b"z")
+    s.compact()
+    assert len([p for p in (tmp_path / "runs").iterdir() if not p.name.startswith(".")]) == 1
+
+
+def test_a_torn_state_is_passed_over(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    s.put(b"k", b"1")
+    s.sync()
+    last = sorted((tmp_path / "manifest").glob("*.json"))[-1]
+    torn = last.with_name(f"{int(last.stem) + 1:012d}.json")
+    torn.write_text('{"runs": [')
+    again = Store(spark, str(tmp_path))
+    assert again.get(b"k") == b"1"
+    again.put(b"k", b"2")
+    again.sync()
+    assert Store(spark, str(tmp_path)).get(b"k") == b"2" and not list((tmp_path / "manifest").glob("*.tmp"))
+
+
+def test_of_a_stream_the_last_batch_number_is_kept(spark, tmp_path):
+    s = Store(spark, str(tmp_path), StoreOptions(max_runs=3))
+    row = lambda n: spark.createDataFrame([("put", 0, bytearray(b"k"), n + 1, bytearray(b"v"))], "op string, ns long, key binary, ts long, value binary")
+    assert [s.write_table(row(n), f"in-{n}") for n in (0, 1, 1, 2, 0, 3)] == [True, True, False, True, False, True]
+    assert s._state["batches"] == {"in": 3} and s.log().count() == 4 and len(s.runs) < 3
+
+
 SIZE = 1 << 22
 
 
@@ -165,6 +229,19 @@ def test_compaction_shrinks_half_filled_extents(spark, tmp_path):
     assert not ExtentStore(spark, str(tmp_path / "b"), SIZE).maybe_compact()
 
 
+def test_compaction_moves_what_it_can(spark, tmp_path):
+    x = ExtentStore(spark, str(tmp_path), SIZE)
+    ids = [x.create(65_536) for _ in range(3)]
+    with x.open(ids[0]) as h:
+        h.write_at(0, b"x" * 100)
+    x.create(x.total_free())
+    assert x.total_free() == 0
+    assert not x.maybe_compact(CompactionConfig(0.0, 1024, 5))
+    x.delete(ids[1])
+    assert x.maybe_compact(CompactionConfig(0.0, 1024, 5)) and x.health().first()["space_accounting_valid"]
+    assert ExtentStore(spark, str(tmp_path))._free == x._free
+
+
 def test_ingest_is_idempotent_and_order_free(spark, tmp_path):
     src = tmp_path / "in"
     schema = "op string, ns long, key binary, ts long, value binary"
