@@ -75,25 +75,16 @@ def epochs(journal: DataFrame) -> DataFrame:
     own = own.filter((F.col("entry_type") == DELETE) | F.col("metadata").isNotNull()).select("seq", "entry_type", "frange_id", "metadata")
     gone = F.when(F.col("entry_type") == DELETE, 1).otherwise(0)
     counted = running_sum(own, "seq", gone, "deletes", keys=["frange_id"]).withColumn("epoch", F.col("deletes") - gone)
-    created = (
-        counted.filter(F.col("entry_type") == CREATE)
-        .groupBy("frange_id", "epoch")
-        .agg(F.min(F.struct("seq", "metadata")).alias("c"))
-        .select("frange_id", "epoch", F.col("c.seq").alias("created_seq"), F.col("c.metadata").alias("base"))
-    )
-    rest = (
-        counted.filter(F.col("entry_type") != CREATE)
-        .join(created.select("frange_id", "epoch", "created_seq"), ["frange_id", "epoch"])
-        .filter("seq > created_seq")
-        .groupBy("frange_id", "epoch")
-        .agg(
-            F.min(F.when(F.col("entry_type") == DELETE, F.col("seq"))).alias("deleted_seq"),
-            F.max(F.when(F.col("entry_type") == UPDATE, F.struct("seq", "metadata"))).alias("u"),
-        )
-    )
-    return created.join(rest, ["frange_id", "epoch"], "left").select(
-        F.col("frange_id").alias("id"), "epoch", "created_seq", "base", "deleted_seq", F.col("u.metadata").alias("updated")
+    of = lambda kind, x: F.when(F.col("entry_type") == kind, x)
+    entry = F.struct("seq", "metadata")
+    # a deletion is the last entry of its epoch, and an update counts if it comes after the creation
+    lives = counted.groupBy("frange_id", "epoch").agg(
+        F.min(of(CREATE, entry)).alias("c"), F.min(of(DELETE, F.col("seq"))).alias("deleted_seq"), F.max(of(UPDATE, entry)).alias("u")
     )
+    return lives.filter("c IS NOT NULL").select(
+        F.col("frange_id").alias("id"), "epoch", F.col("c.seq").alias("created_seq"), F.col("c.metadata").alias("base"), "deleted_seq",
+        F.when(F.col("u.seq") > F.col("c.seq"), F.col("u.metadata")).alias("updated"),
+    )
 
 
 def replay_extents(journal: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.bounds import Bound, between
-from palimpsest.functions.running import SLICES, sliced
+from palimpsest.functions.numbering import ranged
+from palimpsest.functions.running import carried, earlier, with_carry
 from palimpsest.model import COLUMNS, IDENTITY, total_order
 
 
@@ -56,25 +57,27 @@ def as_of(log: DataFrame, ts: int, include_deleted: bool = False) -> DataFrame:
     return latest(past) if include_deleted else live(past)
 
 
-def history(log: DataFrame, slices: int = SLICES) -> DataFrame:
+def history(log: DataFrame) -> DataFrame:
     """All versions with their number from the newest on, the time to the next older one, and whether
     the value changed: ``version, age_ns, changed`` beside the log's columns.
 
-    The windows run over a key's versions slice by slice of time, so a key may have any number of them.
+    The log is range-partitioned in its order, so a key may have any number of versions: a partition
+    carries on a key's count, and looks ahead to the first version of the next one.
     """
     newest_first = [F.col("ts").desc(), F.col("seq").desc(), F.col("src").desc()]
-    cut = sliced(log.select(*COLUMNS), "ts", slices)
-    inner = Window.partitionBy(*IDENTITY, "_slice").orderBy(*newest_first)
-    outer = Window.partitionBy(*IDENTITY).orderBy(F.col("_slice").desc())
-    parts = cut.groupBy(*IDENTITY, "_slice").agg(F.count("*").alias("_n"), F.max(F.struct("ts", "seq", "src", "value")).alias("_top"))
-    parts = parts.select(
-        *IDENTITY, "_slice", F.coalesce(F.sum("_n").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_newer"), F.lead("_top").over(outer).alias("_next")
+    cut = ranged(log.select(*COLUMNS), [*(F.col(c) for c in IDENTITY), *newest_first])
+    inner = Window.partitionBy(*IDENTITY, "_part").orderBy(*newest_first)
+    carry = carried(
+        cut,
+        IDENTITY,
+        [F.count("*").alias("_n"), F.max(F.struct("ts", "seq", "src", "value")).alias("_top")],
+        [F.sum("_n").over(earlier(IDENTITY)).alias("_newer"), F.lead("_top").over(Window.partitionBy(*IDENTITY).orderBy("_part")).alias("_next")],
     )
     local = cut.withColumns({"_i": F.row_number().over(inner), "_lead": F.lead(F.struct("ts", "seq", "src", "value")).over(inner)})
     older = F.coalesce("_lead", "_next")
-    return local.join(parts, [*IDENTITY, "_slice"]).select(
+    return with_carry(local, carry, IDENTITY).select(
         *COLUMNS,
-        (F.col("_newer") + F.col("_i")).alias("version"),
+        (F.coalesce("_newer", F.lit(0)) + F.col("_i")).alias("version"),
         (F.col("ts") - older["ts"]).alias("age_ns"),
         (~older["value"].eqNullSafe(F.col("value"))).alias("changed"),
     )

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.errors import InvalidRow
+from palimpsest.functions import numbering
 from palimpsest.functions.bounds import Bound, between
 from palimpsest.model import COLUMNS, LOG, conform, empty_log
 from palimpsest.operators import merge, reads
@@ -44,15 +46,42 @@ def test_merge_keeps_all_versions_in_the_logical_order(log, rows):
     assert got == [(r[0], bytes(r[1]), r[2], r[5], r[6]) for r in sorted(rows, key=order)]
 
 
-def test_positions_count_on_across_partitions(log, rows, monkeypatch):
-    from palimpsest.functions import numbering
+@pytest.fixture
+def partitions(spark):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", n)
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
 
-    for limit in (10_000, 10):
-        monkeypatch.setattr(numbering, "ONE_TASK_ROWS", limit)
+
+def test_positions_count_on_across_partitions(log, rows, partitions):
+    for n in (1, 3, 16):
+        partitions(n)
         got = sorted((r["pos"], r["seq"]) for r in merge.merge_positions(log).collect())
         assert got == list(enumerate([r[5] for r in sorted(rows, key=order)], 1))
 
 
+def test_positions_do_not_depend_on_what_is_read_of_them(spark, partitions):
+    """Pruned columns, filters, limits and joins of a use leave both readings of the shuffle the same."""
+    partitions(7)
+    rows = spark.range(0, 5000, 1, 5).select((F.col("id") * 7919 % 5003).alias("k"), F.col("id").cast("string").alias("v"), F.lit("x" * 50).alias("w"))
+    want = {k: n for n, k in enumerate(sorted(r["k"] for r in rows.collect()))}
+    placed = numbering.with_position(rows, [F.col("k")], "pos", 0)
+    uses = [placed, placed.select("pos", "k"), placed.filter("k % 3 = 1").select("k", "pos"), placed.filter("pos > 17 AND v IS NOT NULL").select("k", "pos"), placed.limit(9),
+            placed.join(spark.range(0, 5003, 11).withColumnRenamed("id", "k"), "k").hint("shuffle_hash").select("k", "pos"), placed.groupBy("k").agg(F.max("pos").alias("pos"))]
+    for use in uses:
+        picked = use.select("k", "pos")
+        got = picked.collect()
+        assert got and all(want[r["k"]] == r["pos"] for r in got)
+        assert "ReusedExchange" in picked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbouring_values_beside_an_outlier_spread(spark, partitions):
+    partitions(8)
+    rows = spark.range(0, 100_000, 1, 4).select(F.when(F.col("id") == 0, 2**62).otherwise(F.col("id")).alias("at"))
+    sizes = [r["count"] for r in numbering.ranged(rows, [F.col("at")]).groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 40_000
+
+
 def test_latest_is_the_largest_time_then_arrival(log, rows):
     best = {}
     for r in rows:
@@ -109,15 +138,16 @@ def test_bounds_reach_the_scan(spark, log, tmp_path):
     assert "GreaterThanOrEqual(ns,1)" in text and "LessThanOrEqual(ns,255)" in text
 
 
-def test_history_equals_a_walk_over_each_key(log, rows):
+def test_history_equals_a_walk_over_each_key(log, rows, partitions):
     want = {}
     for key in {(r[0], bytes(r[1])) for r in rows}:
         own = sorted((r for r in rows if (r[0], bytes(r[1])) == key), key=lambda r: (-r[2], -r[5]))
         for n, r in enumerate(own):
             older = own[n + 1] if n + 1 < len(own) else None
             want[r[5]] = (n + 1, None if older is None else r[2] - older[2], (older[3] if older else None) != r[3])
-    for slices in (1, 7, 256):
-        assert {r["seq"]: (r["version"], r["age_ns"], r["changed"]) for r in reads.history(log, slices).collect()} == want
+    for n in (1, 5, 16):
+        partitions(n)
+        assert {r["seq"]: (r["version"], r["age_ns"], r["changed"]) for r in reads.history(log).collect()} == want
 
 
 def test_history_numbers_versions_from_the_newest(log):

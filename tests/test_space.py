@@ -31,10 +31,10 @@ def test_islands_and_gaps_equal_brute_force(spark, seed):
     ranges = [(a, a + rng.randrange(0, 40)) for a in (rng.randrange(1000) for _ in range(60))] + [(5, None), (None, 7), (9, 3)]
     df = spark.createDataFrame(ranges, RANGES)
     want = union(ranges)
-    assert pairs(islands(df, "start", "end", slices=7)) == want
+    assert pairs(islands(df, "start", "end")) == want
     inside = [(max(a, 100), min(b, 900)) for a, b in want if b > 100 and a < 900]
     free = [(a, b) for a, b in zip([100, *(b for _, b in inside)], [*(a for a, _ in inside), 900]) if a < b]
-    assert pairs(gaps(df, 100, 900, slices=7)) == free
+    assert pairs(gaps(df, 100, 900)) == free
 
 
 def test_islands_of_chains_and_of_nothing(spark):
@@ -49,7 +49,7 @@ def test_islands_of_chains_and_of_nothing(spark):
 def test_running_sums_with_a_hot_key(spark, descending):
     rng = random.Random(3)
     rows = [(i, rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([1, 5, None])) for i in rng.sample(range(10_000), 300)]
-    df = running_sum(spark.createDataFrame(rows, "i long, k string, v long"), "i", F.col("v"), "total", keys=["k"], descending=descending, slices=9)
+    df = running_sum(spark.createDataFrame(rows, "i long, k string, v long"), "i", F.col("v"), "total", keys=["k"], descending=descending)
     want = {}
     for k in {r[1] for r in rows}:
         total = 0
