@@ -7,16 +7,18 @@ every window with this anchor holds, known by a 64-bit digest.
 Both depend on the window's own characters only, since 2 * reach + GRAM <= length, so an
 insertion changes no chunk beyond it, and equal windows have equal chunks.
 
-1. One shuffle of digests finds the chunks that more than one text holds. The surroundings
-   of a chunk (all the windows it belongs to, which follow one another) are digested along.
+1. The texts are read once for their chunks. One shuffle of digests finds the chunks that more
+   than one text holds. The surroundings of a chunk (all the windows it belongs to, which follow
+   one another) are digested along.
 2. Where all texts that share a chunk also share its surroundings, all those windows are
    shared and the stretch is known without reading a text again.
 3. Elsewhere (edges of shared stretches, boilerplate among different texts) the texts are
    read once more and every window of such an anchor is compared by a 128-bit digest.
 
-Texts that are exact copies are chunked once per task and stand for one text; their
-documents are shared as a whole. All counting is by partial aggregation, so neither a
-digest nor a text that a third of all rows holds meets in one task.
+What several texts of a slice of a task hold is settled in that slice, and one of them goes on
+for all, so a chunk or window that a third of all texts hold arrives as one row per slice, not
+per text. Texts that are exact copies are chunked once per task and stand for one text, known
+by 128 bits of hash; their documents are shared as a whole.
 """
 
 from __future__ import annotations
@@ -32,11 +34,13 @@ from palimpsest.session import durable, spread
 
 LENGTH = 300
 GRAM = 32
-#: The texts that need a second look are broadcast as 8-byte ids up to this many, else joined.
+#: The places that need a second look are broadcast up to this many texts, else joined.
 BROADCAST_TEXTS = 500_000
-#: Windows of a text digested together, and rows put out together; both bound memory only.
+#: So many of the most frequent texts are joined by broadcast; each other one has less than a thousandth of all rows.
+HOT_TEXTS = 1_000
+#: Windows of a text digested together, and chunks or windows in a slice; both bound memory only.
 PIECE = 1_000_000
-OUT_ROWS = 200_000
+SLICE_ROWS = 200_000
 
 _U = np.uint64
 _BASE = (_U(0xD6E8FEB86659FD93), _U(0xA3B195354A39B70D))
@@ -140,43 +144,138 @@ def chunks(points: np.ndarray, length: int, reach: int) -> list[tuple[np.ndarray
     return out
 
 
+# Kinds of rows: a document; a chunk to be compared, or one that stands for differing surroundings; windows known
+# to be shared; windows to be compared one by one.
+_DOC, _CHUNK, _MIXED, _WHOLE, _EDGE = range(5)
+
+
+def settled(keys: tuple[np.ndarray, ...], text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a slice by key: ``(order, start of each group in it, whether several texts are in the group)``."""
+    order = np.lexsort((text, *keys))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(order))
+    return order, start, text[order[start]] != text[order[end - 1]]
+
+
+def joined_windows(text: np.ndarray, lo: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of windows with those of a text that follow one another put together."""
+    if not len(text):
+        return text, lo, last
+    order = np.lexsort((lo, text))
+    text, lo, last = text[order], lo[order], last[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (text[1:] != text[:-1]) | (lo[1:] > last[:-1] + 1)
+    start = np.flatnonzero(new)
+    return text[start], lo[start], last[np.append(start[1:], len(order)) - 1]
+
+
+def _settled_chunks(digest: np.ndarray, around: np.ndarray, text: np.ndarray, lo: np.ndarray, last: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Rows ``(kind, digest, around, text, lo, last)`` of a slice's chunks.
+
+    Of a chunk that several texts of the slice hold one row goes on; their windows are known to be shared
+    if the surroundings are equal, else to be compared.
+    """
+    order, start, many = settled((digest,), text)
+    group = np.cumsum(np.bincount(start, minlength=len(order))) - 1
+    uniform = np.minimum.reduceat(around[order], start) == np.maximum.reduceat(around[order], start)
+    alone = order[~many[group]]
+    first = order[start[many]]
+    rows = [
+        (np.full(len(alone), _CHUNK, np.int8), digest[alone], around[alone], text[alone], lo[alone], last[alone]),
+        (np.where(uniform[many], _CHUNK, _MIXED).astype(np.int8), digest[first], around[first], text[first], lo[first], last[first]),
+    ]
+    for kind, which in ((_WHOLE, uniform), (_EDGE, ~uniform)):
+        own = order[(many & which)[group]]
+        t, a, b = joined_windows(text[own], lo[own], last[own])
+        zero = np.zeros(len(t), np.int64)
+        rows.append((np.full(len(t), kind, np.int8), _signed(_mix(t, 5) ^ _mix(a, 6)), zero, t, a, b))
+    return rows
+
+
 def chunk_texts(docs: DataFrame, length: int, reach: int) -> DataFrame:
-    """One row per chunk of every text: digest, digest of its surroundings, text, and its windows."""
+    """``(kind, key, around, cid, cid2, lo, last, id, n)`` of ``docs`` ``(id, text, cid, cid2)``: a row per document, and
+    rows per chunk and text (see :func:`_settled_chunks`). ``key`` is a chunk's digest, and else spreads the rows."""
+    id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met: set[tuple[int, int]] = set()
+        number = 0
         for batch in batches:
-            rows: list[tuple[int, tuple[np.ndarray, ...]]] = []
+            ids, texts, cid, cid2 = (batch.column(i) for i in range(4))
+            hashes = [np.asarray(c) for c in (cid, cid2)]
+            sizes = np.zeros(batch.num_rows, np.int32)
+            held: list[tuple[int, tuple[np.ndarray, ...]]] = []
             size = 0
-            for text, cid in zip(batch.column(0), batch.column(1).to_pylist()):
-                if cid not in met:
-                    met.add(cid)
-                    for c in chunks(code_points(text.as_py()), length, reach):
-                        rows.append((cid, c))
-                        size += len(c[0])
-                if size > OUT_ROWS:
-                    yield _chunk_batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _chunk_batch(rows)
+            for k in range(batch.num_rows):
+                points = code_points(texts[k].as_py())
+                sizes[k] = len(points)
+                name = (int(hashes[0][k]), int(hashes[1][k]))
+                if name in met:
+                    continue
+                met.add(name)
+                for c in chunks(points, length, reach):
+                    held.append((k, c))
+                    size += len(c[0])
+                if size > SLICE_ROWS:
+                    yield chunk_rows(held, ids, hashes)
+                    held, size = [], 0
+            if size:
+                yield chunk_rows(held, ids, hashes)
+            n = batch.num_rows
+            zero = np.zeros(n, np.int64)
+            spread_by = _signed(_mix(np.arange(number, number + n), 9) ^ hashes[0].view(_U))
+            number += n
+            cols = [np.full(n, _DOC, np.int8), spread_by, zero, *hashes, zero.astype(np.int32), zero.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), ids, pa.array(sizes)], names=_NAMES)
+
+    def chunk_rows(held: list[tuple[int, tuple[np.ndarray, ...]]], ids: pa.Array, hashes: list[np.ndarray]) -> pa.RecordBatch:
+        digest, around, lo, last = (np.concatenate([c[i] for _, c in held]) for i in range(4))
+        text = np.repeat(np.array([k for k, _ in held], dtype=np.int64), [len(c[0]) for _, c in held])
+        parts = _settled_chunks(digest, around, text, lo, last)
+        kind, key, around, text, lo, last = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        cols = [kind, key, around, hashes[0][text], hashes[1][text], lo.astype(np.int32), last.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(kind), ids.type), pa.array(np.zeros(len(kind), np.int32))], names=_NAMES)
+
+    return docs.select("id", "text", "cid", "cid2").mapInArrow(
+        run, f"kind tinyint, key long, around long, cid long, cid2 long, lo int, last int, id {id_type}, n int"
+    )
+
 
-    return docs.select("text", "cid").mapInArrow(run, "digest long, around long, cid long, lo int, last int")
+_NAMES = ["kind", "key", "around", "cid", "cid2", "lo", "last", "id", "n"]
 
 
-def _chunk_batch(rows: list[tuple[int, tuple[np.ndarray, ...]]]) -> pa.RecordBatch:
-    digest, around, lo, last = (np.concatenate([c[i] for _, c in rows]) for i in range(4))
-    cid = np.repeat(np.array([i for i, _ in rows], dtype=np.int64), [len(c[0]) for _, c in rows])
-    cols = [digest, around, cid, lo.astype(np.int32), last.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["digest", "around", "cid", "lo", "last"])
+def compared_chunks(rows: DataFrame) -> DataFrame:
+    """Of :func:`chunk_texts` the documents, and the windows that are shared or to be compared: ``(kind, cid, cid2, lo, last, id, n)``."""
+    chunk = F.col("kind").isin(_CHUNK, _MIXED)
+    w = Window.partitionBy("key")
+    of = lambda c: F.when(chunk, F.col(c))
+    marked = rows.withColumns({
+        "_many": F.min(of("cid")).over(w) != F.max(of("cid")).over(w),
+        "_same": (F.min(of("around")).over(w) == F.max(of("around")).over(w)) & (F.max(F.when(chunk, F.col("kind") == _MIXED)).over(w) == F.lit(False)),
+    })
+    kind = F.when(chunk, F.when(F.col("_same"), _WHOLE).otherwise(_EDGE)).otherwise(F.col("kind")).cast("tinyint")
+    return marked.filter(~chunk | F.col("_many")).select(kind.alias("kind"), "cid", "cid2", "lo", "last", "id", "n")
 
 
 def window_digests(texts: DataFrame, length: int) -> DataFrame:
-    """One row per window in the listed ranges ``places`` of windows, ``(lo, last)`` each."""
+    """``(settled, w0, w1, cid, cid2, lo, last)``: the windows in the listed ranges ``places`` of ``texts``
+    ``(text, cid, cid2, places)``, ``(lo, last)`` each, every window a row with its digest; ranges that
+    several texts of a slice hold come out ``settled``, and one of those texts' windows for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
         for batch in batches:
-            cid, places = batch.column(1).to_pylist(), batch.column(2)
+            hashes = [np.asarray(batch.column(i)) for i in (1, 2)]
+            places = batch.column(3)
+            held: list[tuple[np.ndarray, ...]] = []
+            size = 0
             for k in range(batch.num_rows):
+                name = (int(hashes[0][k]), int(hashes[1][k]))
+                if name in met:
+                    continue
+                met.add(name)
                 points = code_points(batch.column(0)[k].as_py())
                 flat = places[k].values
                 lo, last = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
@@ -186,14 +285,37 @@ def window_digests(texts: DataFrame, length: int) -> DataFrame:
                     if not keep.any():
                         continue
                     a, n = a[keep], (b - a + 1)[keep]
-                    at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    at = np.unique(np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum()))
                     w0, w1 = (_signed(Digester(part, lane).of(at, at + length)) for lane in (0, 1))
-                    for i in range(0, len(at), OUT_ROWS):
-                        j = slice(i, i + OUT_ROWS)
-                        cols = [w0[j], w1[j], np.full(len(at[j]), cid[k], dtype=np.int64), (at[j] + start).astype(np.int32)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["w0", "w1", "cid", "start"])
-
-    return texts.select("text", "cid", "places").mapInArrow(run, "w0 long, w1 long, cid long, start int")
+                    held.append((w0, w1, np.full(len(at), k, dtype=np.int64), at + start))
+                    size += len(at)
+                    if size > SLICE_ROWS:
+                        yield window_rows(held, hashes)
+                        held, size = [], 0
+            if held:
+                yield window_rows(held, hashes)
+
+    def window_rows(held: list[tuple[np.ndarray, ...]], hashes: list[np.ndarray]) -> pa.RecordBatch:
+        w0, w1, text, at = (np.concatenate([h[i] for h in held]) for i in range(4))
+        order, start, many = settled((w1, w0), text)
+        group = np.cumsum(np.bincount(start, minlength=len(order))) - 1
+        on = np.concatenate([order[~many[group]], order[start[many]]])
+        t, a, b = joined_windows(*(x[order[many[group]]] for x in (text, at, at)))
+        text = np.concatenate([text[on], t])
+        cols = [
+            np.repeat([False, True], [len(on), len(t)]), np.concatenate([w0[on], _signed(_mix(t, 5) ^ _mix(a, 6))]), np.concatenate([w1[on], b]),
+            hashes[0][text], hashes[1][text], np.concatenate([at[on], a]).astype(np.int32), np.concatenate([at[on], b]).astype(np.int32),
+        ]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["settled", "w0", "w1", "cid", "cid2", "lo", "last"])
+
+    return texts.select("text", "cid", "cid2", "places").mapInArrow(run, "settled boolean, w0 long, w1 long, cid long, cid2 long, lo int, last int")
+
+
+def compared_windows(rows: DataFrame) -> DataFrame:
+    """Of :func:`window_digests` the ranges of windows that are shared: ``(cid, cid2, lo, last)``."""
+    w = Window.partitionBy("w0", "w1")
+    of = F.when(~F.col("settled"), F.col("cid"))
+    return rows.withColumn("_many", F.min(of).over(w) != F.max(of).over(w)).filter("settled OR _many").select("cid", "cid2", "lo", "last")
 
 
 def shared_spans(
@@ -213,42 +335,32 @@ def shared_spans(
     if reach < GRAM:
         raise ValueError("length must be at least 100")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    src = src.filter(F.char_length("text") >= length).withColumn("cid", F.xxhash64("text"))
-
-    found = chunk_texts(spread(src), length, reach)
-    groups = (
-        found.groupBy("digest")
-        .agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"), F.min("around").alias("a0"), F.max("around").alias("a1"))
-        .filter("c0 <> c1")
-        .select("digest", (F.col("a0") == F.col("a1")).alias("same"))
-    )
-    shared = durable(found.join(groups, "digest").select("cid", "lo", "last", "same").distinct())
-    whole = shared.filter("same").select("cid", F.col("lo").alias("s"), (F.col("last") + length).alias("e"))
-
-    edges = durable(shared.filter(~F.col("same")).groupBy("cid").agg(F.collect_list(F.struct("lo", "last")).alias("places")))
-    few = edges.select("cid")
-    few = F.broadcast(few) if edges.count() <= BROADCAST_TEXTS else few
-    texts = src.select("text", "cid").join(few, "cid", "left_semi")
-    texts = texts.groupBy("cid").agg(F.first("text").alias("text")).join(edges, "cid")
-    windows = window_digests(texts, length)
-    common = windows.groupBy("w0", "w1").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 <> c1").select("w0", "w1")
-    partly = windows.join(common, ["w0", "w1"]).select("cid", F.col("start").alias("s"), (F.col("start") + length).alias("e"))
-
-    w = Window.partitionBy("cid").orderBy("s", "e")
+    src = src.filter(F.char_length("text") >= length).withColumns({"cid": F.xxhash64("text"), "cid2": F.xxhash64(F.lit(1), "text")})
+    text = ["cid", "cid2"]
+
+    known = durable(compared_chunks(chunk_texts(spread(src), length, reach)))
+    whole = known.filter(F.col("kind") == _WHOLE).select(*text, "lo", "last")
+    edges = durable(known.filter(F.col("kind") == _EDGE).groupBy(*text).agg(F.collect_list(F.struct("lo", "last")).alias("places")))
+    few = F.broadcast(edges) if edges.count() <= BROADCAST_TEXTS else edges
+    partly = compared_windows(window_digests(spread(src).select(*text, "text").join(few, text), length))
+
+    w = Window.partitionBy(*text).orderBy("s", "e")
     runs = (
         whole.unionByName(partly)
+        .select(*text, F.col("lo").alias("s"), (F.col("last") + length).alias("e"))
         .withColumn("upto", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("run", F.sum(F.when(F.col("s") <= F.col("upto"), 0).otherwise(1)).over(w))
-        .groupBy("cid", "run")
+        .groupBy(*text, "run")
         .agg(F.min("s").alias("s"), F.max("e").alias("e"))
-        .select("cid", "s", "e")
-    )
-    rows = src.select("id", "cid", F.char_length("text").alias("n"))
-    copies = rows.groupBy("cid").agg(F.count("*").alias("k"), F.max("n").alias("n")).filter("k > 1").select("cid", "n")
-    runs = runs.join(copies, "cid", "left_anti").unionByName(copies.select("cid", F.lit(0).alias("s"), F.col("n").cast("int").alias("e")))
-    return rows.join(runs, "cid").select(
-        F.col("id").alias(id_col), F.col("s").cast("long").alias("span_start"), F.col("e").cast("long").alias("span_end")
+        .select(*text, "s", "e")
     )
+    rows = known.filter(F.col("kind") == _DOC).select("id", *text, "n")
+    copies = rows.groupBy(*text).agg(F.count("*").alias("k"), F.max("n").alias("n")).filter("k > 1")
+    hot = F.broadcast(copies.orderBy(F.col("k").desc()).limit(HOT_TEXTS).select(*text))
+    alone = runs.join(copies, text, "left_anti").unionByName(copies.select(*text, F.lit(0).alias("s"), F.col("n").alias("e")))
+    found = rows.join(hot, text, "left_anti").join(alone, text).select("id", "s", "e")
+    found = found.unionByName(rows.join(hot, text, "left_semi").select("id", F.lit(0).alias("s"), F.col("n").alias("e")))
+    return found.select(F.col("id").alias(id_col), F.col("s").cast("long").alias("span_start"), F.col("e").cast("long").alias("span_end"))
 
 
 def shared_share(spans: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

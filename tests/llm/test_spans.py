@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("palimpsest.llm")
 
@@ -60,6 +61,27 @@ def test_equal_to_brute_force(spark, seed):
     assert found(df, length=100) == brute(docs, 100)
 
 
+@pytest.mark.parametrize("limits", [{"SLICE_ROWS": 3}, {"SLICE_ROWS": 60, "HOT_TEXTS": 1}, {"SLICE_ROWS": 10**9, "HOT_TEXTS": 10**6}])
+def test_limits_change_nothing(spark, monkeypatch, limits):
+    docs = corpus(5, 100)
+    docs += [(200 + i, docs[4][1]) for i in range(30)] + [(300 + i, "lead %d " % i + docs[5][1]) for i in range(30)]
+    for name, n in limits.items():
+        monkeypatch.setattr(spans, name, n)
+    assert found(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), length=100) == brute(docs, 100)
+
+
+def test_documents_are_read_twice_and_chunks_made_once(spark, tmp_path):
+    """Half of all rows hold one passage: what goes on of its chunks is one row for a slice, not for a document."""
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(4000))
+    docs = [(i, (base if i % 2 else "") + "".join(rng.choice("qrstuvwxyz ") for _ in range(500))) for i in range(200)]
+    src = spark.createDataFrame(docs, "id long, text string").withColumns({"cid": F.xxhash64("text"), "cid2": F.xxhash64(F.lit(1), "text")}).coalesce(2)
+    rows = spans.chunk_texts(src, 300, 134)
+    most = rows.filter(F.col("kind").isin(spans._CHUNK, spans._MIXED)).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert most <= 2
+    assert found(src.select(F.col("id").alias("doc_id"), "text")) == brute(docs, 300)
+
+
 def test_edges_are_resolved_without_the_broadcast_too(spark, monkeypatch):
     monkeypatch.setattr(spans, "BROADCAST_TEXTS", 0)
     docs = corpus(7, 100)
