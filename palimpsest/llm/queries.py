@@ -32,6 +32,10 @@ def p2_error_rates(spark: SparkSession, folder: str) -> DataFrame:
     return seen.error_report(table(spark, folder, "incoming_puts"), table(spark, folder, "version_log"))
 
 
+def p2_error_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return seen.error_totals(p2_error_rates(spark, folder))
+
+
 def p5_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return packing.repack(table(spark, folder, "blocks"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "p1_records": p1_records,
     "p2_found": p2_found,
     "p2_error_rates": p2_error_rates,
+    "p2_error_totals": p2_error_totals,
     "p5_blocks": p5_blocks,
     "p5_report": p5_report,
     "p6_ids": p6_ids,
@@ -114,6 +119,10 @@ FROM s JOIN b v ON v.seq = s.val_seq LEFT JOIN b w ON w.seq = s.writer_seq""",
     "p8_share": _SPANS
     + """SELECT doc_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS shared_chars
 FROM documents LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS n FROM p GROUP BY doc_id) USING (doc_id)""",
+    "p2_error_totals": """
+WITH p AS (SELECT DISTINCT coalesce(ns, 0) AS n, regexp_replace(hex(key), '(00|20)+$', '') AS k FROM incoming_puts WHERE key IS NOT NULL),
+l AS (SELECT DISTINCT coalesce(ns, 0) AS n, regexp_replace(hex(key), '(00|20)+$', '') AS k FROM version_log WHERE key IS NOT NULL)
+SELECT count(*) AS probes, count(l.k) AS known, CAST(0 AS BIGINT) AS missed, true AS within_bound FROM p LEFT JOIN l USING (n, k)""",
     "p2_found": """
 WITH k AS (
   SELECT in_id, coalesce(ns, 0) AS n, regexp_replace(hex(key), '(00|20)+$', '') AS k FROM incoming_puts WHERE key IS NOT NULL),

@@ -1,17 +1,18 @@
 """Has a key occurred before? Membership among sealed batches by fingerprint filters.
 
-The log is cut by arrival into a few generations of sealed batches. For every generation and
-shard of the key hash an immutable filter is built by peeling: each key owns three cells, one
-in each third of the table; cells that a single key owns are peeled off round by round, and
-in reverse order each key's cell gets the value that makes the xor of its three cells the
-key's 16-bit fingerprint. A filter takes about 2.5 bytes a key, so the whole log's filters
-stand for it where the keys themselves would not fit.
+The log is cut by arrival into a few generations of sealed batches of about equal size. For
+every generation and shard of the key hash an immutable filter is built by peeling: each key
+owns three cells, one in each third of the table; cells that a single key owns are peeled off
+round by round, and in reverse order each key's cell gets the value that makes the xor of its
+three cells the key's 16-bit fingerprint. A filter takes about 2.5 bytes a key, so the whole
+log's filters stand for it where the keys themselves would not fit. Filters are saved and
+loaded, and a further batch is appended as a generation of its own; the log is not read again.
 
 Incoming keys go to their shard in bounded batches and are probed against the shard's
 filter of every generation. A miss is certain. A hit is wrong with a chance of 2^-16 per
-generation (of 16 bits); over all generations that compounds to 1 - (1 - 2^-16)^n, which is reported, and
-the few hits are confirmed against the log rows of just those hashes. Earlier records of the
-incoming batch itself are kept exactly.
+generation (of 16 bits); over all generations that compounds to 1 - (1 - 2^-16)^n, which is
+reported beside the measured rate. Where the log is given too, the few hits are confirmed
+against its keys. Earlier records of the incoming batch itself are kept exactly.
 """
 
 from __future__ import annotations
@@ -21,17 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.keys import namespace, plain_key
+from palimpsest.session import durable
 
 #: Generations of the log, and keys that a filter holds about; the number of shards follows.
 GENERATIONS = 8
 FILTER_KEYS = 50_000
 PROBE_BATCH = 50_000
 FINGERPRINT_BITS = 16
-BROADCAST_HASHES = 500_000
 
 _U = np.uint64
 
@@ -105,37 +106,63 @@ def _keyed(rows: DataFrame, *more: Column, ns: str = "ns", key: str = "key") ->
     return flat.withColumn("h", F.xxhash64("ns", "key"))
 
 
+_FILTERS = "gen int, shard int, shards int, bits int, seed int, third int, n long, cells binary"
+
+
 class SealedBatches:
-    """The filters of a log, and what is needed to confirm their hits.
+    """The filters of a log, generation by generation.
 
-    ``order`` is the bigint column of arrival by which the log is cut into generations.
+    ``order`` is the bigint column of arrival by which the log is cut into generations, at about equal
+    numbers of rows however the values lie; a null order is in the first one. The number of shards
+    follows from the first log and stays what it is, so filters of later generations may be larger.
     """
 
     def __init__(
         self, log: DataFrame, order: str = "seq", generations: int = GENERATIONS, filter_keys: int = FILTER_KEYS, bits: int = FINGERPRINT_BITS
     ):
         self.bits = bits
-        lo, hi, n = log.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-        self.generations = generations
+        at = F.array(*(F.lit(i / generations) for i in range(1, generations)))
+        cuts, n = log.agg(F.percentile_approx(order, at, 10_000) if generations > 1 else F.lit(None), F.count(F.lit(1))).first()
         self.shards = max(1, -(-n // (generations * filter_keys)))
-        width = max(1, -(-((hi or 0) - (lo or 0) + 1) // generations))
-        gen = F.coalesce(F.expr(f"cast(({order} - ({lo or 0})) div {width} as int)"), F.lit(0)).alias("gen")
-        self.keys = _keyed(log, gen)
-        self.filters = self._build()
+        gen = sum((F.when(F.col(order) > c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0))
+        self.keys = _keyed(log, gen.alias("gen"))
+        self.filters = self._build(self.keys)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SealedBatches:
+        """What :meth:`save` and :meth:`append` wrote."""
+        sealed = cls.__new__(cls)
+        sealed.keys, sealed.filters = None, spark.read.schema(_FILTERS).parquet(path)
+        sealed.shards, sealed.bits = sealed.filters.select("shards", "bits").first() or (1, FINGERPRINT_BITS)
+        return sealed
+
+    def save(self, path: str) -> SealedBatches:
+        """Write the filters to ``path``, which must not exist, and use them from there."""
+        self.filters.write.parquet(path)
+        return self.load(self.filters.sparkSession, path)
+
+    def append(self, batch: DataFrame, path: str) -> SealedBatches:
+        """Seal ``batch`` (``ns, key``) as the next generation beside the filters saved at ``path``; only
+        the batch is read."""
+        last = self.filters.agg(F.max("gen")).first()[0]
+        gen = F.lit(0 if last is None else last + 1).alias("gen")
+        self._build(_keyed(batch, gen)).write.mode("append").parquet(path)
+        return self.load(batch.sparkSession, path)
 
     def shard(self) -> Column:
         return F.pmod(F.shiftright("h", 7), F.lit(self.shards)).cast("int")
 
-    def _build(self) -> DataFrame:
-        bits = self.bits
+    def _build(self, keys: DataFrame) -> DataFrame:
+        bits, shards = self.bits, self.shards
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             h = np.unique(pdf["h"].to_numpy(dtype=np.int64))
             seed, third, cells = build_filter(h, bits)
-            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "gen": [pdf["gen"].iloc[0]], "seed": [seed], "third": [third], "n": [len(h)], "cells": [cells]})
+            gen, shard = pdf["gen"].iloc[0], pdf["shard"].iloc[0]
+            return pd.DataFrame({"gen": [gen], "shard": [shard], "shards": [shards], "bits": [bits], "seed": [seed], "third": [third], "n": [len(h)], "cells": [cells]})
 
-        distinct = self.keys.select("gen", "h").distinct().withColumn("shard", self.shard())
-        return distinct.groupBy("shard", "gen").applyInPandas(build, "shard int, gen int, seed int, third int, n long, cells binary")
+        distinct = keys.select("gen", "h").distinct().withColumn("shard", self.shard())
+        return distinct.groupBy("shard", "gen").applyInPandas(build, _FILTERS)
 
     def probe(self, hashes: DataFrame) -> DataFrame:
         """``(h, gen)``: the generations whose filter claims to hold each distinct ``h`` of ``hashes``."""
@@ -163,66 +190,86 @@ class SealedBatches:
         stacks = self.filters.groupBy("shard").agg(F.collect_list(F.struct("gen", "seed", "third", "cells")).alias("filters"))
         return batched.join(stacks, "shard").select("hashes", "filters").mapInArrow(run, "h long, gen int")
 
-    def confirm(self, candidates: DataFrame) -> DataFrame:
-        """The rows ``(h, ns, key)`` of ``candidates`` whose very key the log has; only log rows of
-        their hashes are looked at."""
-        logged = self.keys.select("h", "ns", "key").join(candidates.select("h").distinct(), "h", "left_semi").distinct()
-        return candidates.join(logged, ["h", "ns", "key"], "left_semi")
 
+def _confirmed(candidates: DataFrame, log_keys: DataFrame) -> DataFrame:
+    """The rows ``(h, ns, key)`` of ``candidates`` whose very key the log has.
 
-def seen_before(
-    incoming: DataFrame, log: DataFrame, id_col: str = "in_id", ns: str = "ns", key: str = "key", order: str = "seq"
-) -> DataFrame:
-    """``(id_col)``: incoming records whose key occurs in ``log`` or under a smaller id in ``incoming``.
+    A key's log rows are one per task before they are moved.
+    """
+    return candidates.join(log_keys.select("h", "ns", "key").distinct(), ["h", "ns", "key"], "left_semi")
 
-    A key is its namespace (null is 0) and its bytes without trailing 0x00 and 0x20. Records with a
-    null key are never seen; a null order falls into the first generation. Records that share an id
-    are not earlier than one another. Empty tables have no keys. Other columns are not read.
+
+def seen_before(
+    incoming: DataFrame, log: DataFrame | None = None, id_col: str = "in_id", ns: str = "ns", key: str = "key", order: str = "seq",
+    sealed: SealedBatches | None = None,
+) -> DataFrame:
+    """``(id_col)``: incoming records whose key occurs before, or under a smaller id in ``incoming``.
+
+    Before is in ``log``, of which filters are built here unless ``sealed`` has them; hits are confirmed,
+    so the answer is exact. Without ``log`` the filters of ``sealed`` decide alone, at their error rate
+    (see :func:`error_report`), and nothing but them is read. A key is its namespace (null is 0) and its
+    bytes without trailing 0x00 and 0x20. Records with a null key are never seen, nor is a record without
+    an id reported. Records that share an id are not earlier than one another. Empty tables have no keys.
+    Other columns are not read.
     """
-    records = _keyed(incoming, F.col(id_col).alias("id"), ns=ns, key=key)
-    states = records.groupBy("h", "ns", "key").agg(F.min("id").alias("first"))
-    sealed = SealedBatches(log, order)
+    if log is None and sealed is None:
+        raise ValueError("a log or sealed batches must be given")
+    records = _keyed(incoming, F.col(id_col).alias("id"), ns=ns, key=key).filter("id IS NOT NULL")
+    same = ["h", "ns", "key"]
+    states = records.groupBy(*same).agg(F.min("id").alias("id"))
+    sealed = sealed or SealedBatches(log, order)
     hits = sealed.probe(states.select("h").distinct()).select("h").distinct()
-    candidates = states.join(hits, "h", "left_semi").select("h", "ns", "key")
-    confirmed = sealed.confirm(candidates).withColumn("logged", F.lit(True))
-    states = states.join(confirmed, ["h", "ns", "key"], "left")
-    found = records.join(states, ["h", "ns", "key"]).filter(F.col("logged") | (F.col("id") > F.col("first")))
-    return found.select(F.col("id").alias(id_col))
+    known = states.join(hits, "h", "left_semi").select(*same)
+    if log is not None:
+        known = _confirmed(known, _keyed(log))
+    # of every new key the first record alone is not seen: told by its id, so no key's records meet in one place
+    first = states.join(known, same, "left_anti")
+    return records.join(first, ["id", *same], "left_anti").select(F.col("id").alias(id_col))
 
 
 def error_report(incoming: DataFrame, log: DataFrame, order: str = "seq", bits: int = FINGERPRINT_BITS) -> DataFrame:
     """Per generation, and compounded over all of them as generation -1: keys and bits per key held,
-    distinct keys probed, hits, hits that were wrong, and the expected rate of wrong hits.
+    distinct keys probed, hits, hits that were wrong, keys that were missed (there are none), and the
+    expected and the measured rate of wrong hits among the probes that the generation lacks.
 
-    ``(generation, keys, bits_per_key, probes, hits, wrong_hits, expected_rate)``; the measured rate
-    is wrong_hits among the probes that the generation lacks.
+    ``(generation, keys, bits_per_key, probes, hits, wrong_hits, missed, expected_rate, measured_rate)``.
     """
     sealed = SealedBatches(log, order, bits=bits)
+    filters = sealed.filters = durable(sealed.filters)
     probed = _keyed(incoming).select("h").distinct()
-    n = probed.agg(F.count("*").alias("probes")).withColumn("one", F.lit(1))
-    true = sealed.keys.select("h", "gen").distinct().withColumn("true", F.lit(1))
-    hits = sealed.probe(probed).join(true, ["h", "gen"], "left")
-    per_gen = hits.groupBy("gen").agg(F.count("*").alias("hits"), F.sum(F.when(F.col("true").isNull(), 1).otherwise(0)).alias("wrong_hits"))
-    over_all = hits.groupBy("h").agg(F.max("true").alias("true")).agg(
-        F.lit(-1).alias("gen"), F.count("*").alias("hits"), F.sum(F.when(F.col("true").isNull(), 1).otherwise(0)).alias("wrong_hits")
-    )
-    size = sealed.filters.groupBy("gen").agg(F.sum("n").alias("keys"), F.sum(F.octet_length("cells") * 8).alias("bits"))
+    true = sealed.keys.select("h", "gen").distinct().join(probed, "h", "left_semi").withColumn("true", F.lit(1))
+    found = durable(sealed.probe(probed).withColumn("hit", F.lit(1)).join(true, ["h", "gen"], "full_outer"))
+    aggs = [
+        F.count("hit").alias("hits"), F.count_if(F.col("true").isNull()).alias("wrong_hits"), F.count("true").alias("true"), F.count_if(F.col("hit").isNull()).alias("missed"),
+    ]
+    per_gen = found.groupBy("gen").agg(*aggs)
+    over_all = found.groupBy("h").agg(F.max("hit").alias("hit"), F.max("true").alias("true")).agg(*aggs).withColumn("gen", F.lit(-1))
+    size = filters.groupBy("gen").agg(F.sum("n").alias("keys"), F.sum(F.octet_length("cells") * 8).alias("bits"))
     rate = 2.0**-bits
     total = size.agg(F.lit(-1).alias("gen"), F.sum("keys").alias("keys"), F.sum("bits").alias("bits"), F.count("*").alias("g")).withColumn(
         "rate", 1 - F.pow(F.lit(1 - rate), F.col("g"))
     )
     sizes = size.withColumn("rate", F.lit(rate)).unionByName(total.drop("g"))
+    n = probed.agg(F.count("*").alias("probes"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return (
         sizes.join(per_gen.unionByName(over_all), "gen", "left")
-        .withColumn("one", F.lit(1))
-        .join(n, "one")
+        .crossJoin(F.broadcast(n))
         .select(
-            F.col("gen").alias("generation"),
-            F.coalesce("keys", F.lit(0)).cast("long").alias("keys"),
-            F.round(F.col("bits") / F.col("keys"), 2).alias("bits_per_key"),
-            "probes",
-            F.coalesce("hits", F.lit(0)).cast("long").alias("hits"),
-            F.coalesce("wrong_hits", F.lit(0)).cast("long").alias("wrong_hits"),
-            F.col("rate").alias("expected_rate"),
+            F.col("gen").alias("generation"), zero("keys").alias("keys"), F.round(F.col("bits") / F.col("keys"), 2).alias("bits_per_key"), "probes",
+            zero("hits").alias("hits"), zero("wrong_hits").alias("wrong_hits"), zero("missed").alias("missed"), F.col("rate").alias("expected_rate"),
+            F.try_divide(zero("wrong_hits"), F.col("probes") - zero("true")).alias("measured_rate"),
         )
-    )
+    )
+
+
+def error_totals(report: DataFrame, sigmas: int = 6) -> DataFrame:
+    """Of :func:`error_report` over all generations ``(probes, known, missed, within_bound)``: distinct keys probed, how
+    many of them the log has, how many of those were missed, and whether the wrong hits are no more than the
+    expected rate explains within ``sigmas`` standard deviations."""
+    lacking = F.col("probes") - (F.col("hits") - F.col("wrong_hits")) - F.col("missed")
+    expected = lacking * F.col("expected_rate")
+    return report.filter("generation = -1").select(
+        "probes", (F.col("hits") - F.col("wrong_hits") + F.col("missed")).alias("known"), "missed",
+        (F.col("wrong_hits") <= F.ceil(expected + sigmas * F.sqrt(expected))).alias("within_bound"),
+    )

@@ -32,7 +32,8 @@ def test_bound_never_exceeds_the_best_packing():
         sizes = rng.integers(1, 11, 7)
         best = min_bins(sizes.tolist(), 10)
         assert packing.least_bins(sizes, 10) <= best
-        _, where, made = packing.best_order(sizes, 10)
+        where, made = packing.best_packing(sizes, 10)
+        check(sizes, where, 10)
         assert best <= made <= best + 1
 
 
@@ -54,6 +55,34 @@ def min_bins(sizes, capacity):
     return best[0]
 
 
+@pytest.mark.parametrize("n", [5, 40, 400, 6000])
+def test_packing_anew_keeps_every_item(n, monkeypatch):
+    monkeypatch.setattr(packing, "WORST", 12)
+    rng = np.random.default_rng(n)
+    sizes = rng.integers(200, 700, n)
+    where, made = packing.best_packing(sizes, 1000)
+    check(sizes, where, 1000)
+    assert len(where) == n and len(np.unique(where)) == made >= packing.least_bins(sizes, 1000)
+    assert made <= packing.sum_of_squares(np.sort(sizes)[::-1], 1000)[1]
+
+
+def brute_bound(sizes, capacity):
+    bound = -(-int(sizes.sum()) // capacity)
+    for small in {0, *sizes[sizes <= capacity // 2].tolist()}:
+        alone, half = sizes > capacity - small, (sizes > capacity // 2) & (sizes <= capacity - small)
+        rest = sizes[(sizes <= capacity // 2) & (sizes >= small)].sum()
+        bound = max(bound, int(alone.sum() + half.sum() + max(0, -(-(rest - (half.sum() * capacity - sizes[half].sum())) // capacity))))
+    return bound
+
+
+@pytest.mark.parametrize("capacity", [10, 11, 100])
+def test_bound_is_what_its_definition_says(capacity):
+    rng = np.random.default_rng(capacity)
+    for n in (1, 2, 5, 30, 200):
+        sizes = rng.integers(1, capacity + 1, n)
+        assert packing.least_bins(sizes, capacity) == brute_bound(sizes, capacity)
+
+
 def test_nothing_to_pack():
     assert packing.pack([]) == []
     assert packing.sum_of_squares(np.array([], dtype=np.int64), 10)[1] == 0
@@ -103,9 +132,26 @@ def test_a_large_segment_is_packed_in_parts(spark, monkeypatch):
     rows = [(b, 1, [rng.randbytes(rng.randrange(300)) for _ in range(10)]) for b in range(60)]
     got = packing.repack(table(spark, rows)).collect()
     assert restored(got) == {(1, b, i): x for b, _, e in rows for i, x in enumerate(e)}
-    assert {r["part"] for r in got} == set(range(6))
+    assert {r["part"] for r in got} <= set(range(6)) and len({r["part"] for r in got}) > 3
     report = packing.packing_report(packing.repack(table(spark, rows))).first()
-    assert report["blocks"] <= report["least_blocks"] + 6
+    assert report["blocks"] <= report["least_blocks"] + 6 and 3 < report["parts"] <= 6
+
+
+def test_fifty_thousand_entries_are_one_part(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(b, 1, [bytes(rng.choice([3, 40, 90, 300, 700])) for _ in range(500)]) for b in range(100)]
+    report = packing.packing_report(packing.repack(table(spark, rows))).first()
+    assert report["entries"] == 50_000 and report["parts"] == 1 and report["blocks"] <= report["least_blocks"] + 5
+    # cut into parts all the same, a part costs a block or two
+    monkeypatch.setattr(packing, "PART_ITEMS", 20_000)
+    split = packing.packing_report(packing.repack(table(spark, rows))).first()
+    assert split["parts"] == 3 and split["blocks"] <= report["blocks"] + 2 * split["parts"]
+
+
+def test_a_block_row_repeated_many_times_is_one(spark):
+    one = table(spark, [(7, 1, [b"x" * 50, None, b"", b"y" * 9000])])
+    many = one.crossJoin(spark.range(0, 3000, 1, 6)).drop("id")
+    assert [(r["num_entries"], r["used_bytes"]) for r in packing.repack(many).orderBy("block_no").collect()] == [(r["num_entries"], r["used_bytes"]) for r in packing.repack(one).orderBy("block_no").collect()]
 
 
 def test_a_block_is_filled_to_its_last_byte(spark):

@@ -55,5 +55,34 @@ def test_error_report(spark):
     for g, r in rows.items():
         lacking = r["probes"] - (r["hits"] - r["wrong_hits"])
         assert 0.7 < r["wrong_hits"] / lacking / r["expected_rate"] < 1.3, (g, r)
+    assert all(r["missed"] == 0 and 0.7 < r["measured_rate"] / r["expected_rate"] < 1.3 for r in rows.values())
+    totals = seen.error_totals(seen.error_report(put, log)).first()
+    assert tuple(totals) == (10_000, 2000, 0, True)
     assert rows[-1]["hits"] - rows[-1]["wrong_hits"] == 2000
     assert rows[-1]["expected_rate"] == pytest.approx(1 - (1 - 1 / 16) ** 8)
+
+
+def keyed(spark, lo, hi, name="seq"):
+    return spark.range(lo, hi).select(F.col("id").alias(name), F.lit(0).cast("long").alias("ns"), F.col("id").cast("string").cast("binary").alias("key"))
+
+
+def test_filters_are_saved_loaded_and_appended_and_the_log_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "filters")
+    seen.SealedBatches(keyed(spark, 0, 1000), generations=3, filter_keys=100).save(path)
+    sealed = seen.SealedBatches.load(spark, path).append(keyed(spark, 5000, 5500).drop("seq"), path)
+    assert sealed.shards == 4 and {r["gen"] for r in sealed.filters.select("gen").collect()} == {0, 1, 2, 3}
+    put = keyed(spark, 900, 5100, "in_id")
+    found = seen.seen_before(put, sealed=seen.SealedBatches.load(spark, path))
+    ids = {r[0] for r in found.collect()}
+    true = {*range(900, 1000), *range(5000, 5100)}
+    assert true <= ids and len(ids - true) < 5
+    assert "ExistingRDD" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "seq" not in plan
+    with pytest.raises(ValueError):
+        seen.seen_before(put)
+
+
+def test_generations_are_of_about_equal_size_whatever_the_order_values(spark):
+    log = keyed(spark, 0, 4000).withColumn("seq", F.when(F.col("seq") == 7, 2**60).otherwise(F.col("seq")))
+    sealed = seen.SealedBatches(log)
+    sizes = [r["n"] for r in sealed.filters.groupBy("gen").agg(F.sum("n").alias("n")).collect()]
+    assert len(sizes) == seen.GENERATIONS and max(sizes) < 2 * min(sizes)
