@@ -18,7 +18,7 @@ insertion changes no chunk beyond it, and equal windows have equal chunks.
 What several texts of a slice of a task hold is settled in that slice, and one of them goes on
 for all, so a chunk or window that a third of all texts hold arrives as one row per slice, not
 per text. Texts that are exact copies are chunked once per task and stand for one text, known
-by 128 bits of hash; their documents are shared as a whole.
+by 125 bits of hash; their documents are shared as a whole.
 """
 
 from __future__ import annotations
@@ -27,14 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.session import durable, spread
 
 LENGTH = 300
 GRAM = 32
-#: The places that need a second look are broadcast up to this many texts, else joined.
+#: The places that need a second look are broadcast up to this many, 8 bytes each, in up to this many texts, else joined.
+BROADCAST_PLACES = 2_000_000
 BROADCAST_TEXTS = 500_000
 #: So many of the most frequent texts are joined by broadcast; each other one has less than a thousandth of all rows.
 HOT_TEXTS = 1_000
@@ -147,6 +148,8 @@ def chunks(points: np.ndarray, length: int, reach: int) -> list[tuple[np.ndarray
 # Kinds of rows: a document; a chunk to be compared, or one that stands for differing surroundings; windows known
 # to be shared; windows to be compared one by one.
 _DOC, _CHUNK, _MIXED, _WHOLE, _EDGE = range(5)
+#: The lowest bits of a text's second hash are free for the kind of a row; texts are known by 125 bits.
+_KIND_BITS = 3
 
 
 def settled(keys: tuple[np.ndarray, ...], text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,8 +198,9 @@ def _settled_chunks(digest: np.ndarray, around: np.ndarray, text: np.ndarray, lo
 
 
 def chunk_texts(docs: DataFrame, length: int, reach: int) -> DataFrame:
-    """``(kind, key, around, cid, cid2, lo, last, id, n)`` of ``docs`` ``(id, text, cid, cid2)``: a row per document, and
-    rows per chunk and text (see :func:`_settled_chunks`). ``key`` is a chunk's digest, and else spreads the rows."""
+    """``(key, around, cid, tag, at, doc)`` of ``docs`` ``(id, text, cid, cid2)``: a row per document, and rows per chunk
+    and text (see :func:`_settled_chunks`). ``key`` is a chunk's digest, and else spreads the rows; ``tag`` is ``cid2``
+    with the kind in its lowest bits, ``at`` the first and the last window, ``doc`` ``(id, n)``. So packed, rows are short."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,42 +231,54 @@ def chunk_texts(docs: DataFrame, length: int, reach: int) -> DataFrame:
             zero = np.zeros(n, np.int64)
             spread_by = _signed(_mix(np.arange(number, number + n), 9) ^ hashes[0].view(_U))
             number += n
-            cols = [np.full(n, _DOC, np.int8), spread_by, zero, *hashes, zero.astype(np.int32), zero.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), ids, pa.array(sizes)], names=_NAMES)
+            doc = pa.StructArray.from_arrays([ids, pa.array(sizes)], names=["id", "n"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (spread_by, zero, hashes[0], hashes[1] | _DOC, zero)), doc], names=_NAMES)
 
     def chunk_rows(held: list[tuple[int, tuple[np.ndarray, ...]]], ids: pa.Array, hashes: list[np.ndarray]) -> pa.RecordBatch:
         digest, around, lo, last = (np.concatenate([c[i] for _, c in held]) for i in range(4))
         text = np.repeat(np.array([k for k, _ in held], dtype=np.int64), [len(c[0]) for _, c in held])
         parts = _settled_chunks(digest, around, text, lo, last)
         kind, key, around, text, lo, last = (np.concatenate([p[i] for p in parts]) for i in range(6))
-        cols = [kind, key, around, hashes[0][text], hashes[1][text], lo.astype(np.int32), last.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(kind), ids.type), pa.array(np.zeros(len(kind), np.int32))], names=_NAMES)
+        cols = [key, around, hashes[0][text], hashes[1][text] | kind, lo << 32 | last]
+        none = pa.nulls(len(kind), pa.struct([("id", ids.type), ("n", pa.int32())]))
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), none], names=_NAMES)
 
     return docs.select("id", "text", "cid", "cid2").mapInArrow(
-        run, f"kind tinyint, key long, around long, cid long, cid2 long, lo int, last int, id {id_type}, n int"
+        run, f"key long, around long, cid long, tag long, at long, doc struct<id:{id_type},n:int>"
     )
 
 
-_NAMES = ["kind", "key", "around", "cid", "cid2", "lo", "last", "id", "n"]
+_NAMES = ["key", "around", "cid", "tag", "at", "doc"]
+
+
+def kind_of(tag: Column) -> Column:
+    return tag.bitwiseAND((1 << _KIND_BITS) - 1)
+
+
+def name_of(tag: Column) -> Column:
+    return tag.bitwiseAND(-(1 << _KIND_BITS))
 
 
 def compared_chunks(rows: DataFrame) -> DataFrame:
     """Of :func:`chunk_texts` the documents, and the windows that are shared or to be compared: ``(kind, cid, cid2, lo, last, id, n)``."""
-    chunk = F.col("kind").isin(_CHUNK, _MIXED)
+    own = kind_of(F.col("tag"))
+    chunk = own.isin(_CHUNK, _MIXED)
     w = Window.partitionBy("key")
     of = lambda c: F.when(chunk, F.col(c))
     marked = rows.withColumns({
         "_many": F.min(of("cid")).over(w) != F.max(of("cid")).over(w),
-        "_same": (F.min(of("around")).over(w) == F.max(of("around")).over(w)) & (F.max(F.when(chunk, F.col("kind") == _MIXED)).over(w) == F.lit(False)),
+        "_same": (F.min(of("around")).over(w) == F.max(of("around")).over(w)) & (F.max(F.when(chunk, own == _MIXED)).over(w) == F.lit(False)),
     })
-    kind = F.when(chunk, F.when(F.col("_same"), _WHOLE).otherwise(_EDGE)).otherwise(F.col("kind")).cast("tinyint")
-    return marked.filter(~chunk | F.col("_many")).select(kind.alias("kind"), "cid", "cid2", "lo", "last", "id", "n")
+    kind = F.when(chunk, F.when(F.col("_same"), _WHOLE).otherwise(_EDGE)).otherwise(own).cast("tinyint")
+    lo, last = F.shiftright("at", 32).cast("int").alias("lo"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("last")
+    return marked.filter(~chunk | F.col("_many")).select(kind.alias("kind"), "cid", name_of(F.col("tag")).alias("cid2"), lo, last, "doc.id", "doc.n")
 
 
 def window_digests(texts: DataFrame, length: int) -> DataFrame:
-    """``(settled, w0, w1, cid, cid2, lo, last)``: the windows in the listed ranges ``places`` of ``texts``
-    ``(text, cid, cid2, places)``, ``(lo, last)`` each, every window a row with its digest; ranges that
-    several texts of a slice hold come out ``settled``, and one of those texts' windows for all."""
+    """``(w0, w1, cid, tag, lo)``: the windows in the listed ranges ``places`` of ``texts`` ``(text, cid, cid2, places)``,
+    ``(lo, last)`` each, every window a row with its digest; ranges that several texts of a slice hold
+    come out settled, told by an odd ``tag`` and with the last window in ``w1``, and one of those texts'
+    windows for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
@@ -302,20 +318,23 @@ def window_digests(texts: DataFrame, length: int) -> DataFrame:
         on = np.concatenate([order[~many[group]], order[start[many]]])
         t, a, b = joined_windows(*(x[order[many[group]]] for x in (text, at, at)))
         text = np.concatenate([text[on], t])
+        tag = hashes[1][text] | np.repeat([0, 1], [len(on), len(t)])
         cols = [
-            np.repeat([False, True], [len(on), len(t)]), np.concatenate([w0[on], _signed(_mix(t, 5) ^ _mix(a, 6))]), np.concatenate([w1[on], b]),
-            hashes[0][text], hashes[1][text], np.concatenate([at[on], a]).astype(np.int32), np.concatenate([at[on], b]).astype(np.int32),
+            np.concatenate([w0[on], _signed(_mix(t, 5) ^ _mix(a, 6))]), np.concatenate([w1[on], b]), hashes[0][text], tag,
+            np.concatenate([at[on], a]).astype(np.int32),
         ]
-        return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["settled", "w0", "w1", "cid", "cid2", "lo", "last"])
+        return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["w0", "w1", "cid", "tag", "lo"])
 
-    return texts.select("text", "cid", "cid2", "places").mapInArrow(run, "settled boolean, w0 long, w1 long, cid long, cid2 long, lo int, last int")
+    return texts.select("text", "cid", "cid2", "places").mapInArrow(run, "w0 long, w1 long, cid long, tag long, lo int")
 
 
 def compared_windows(rows: DataFrame) -> DataFrame:
     """Of :func:`window_digests` the ranges of windows that are shared: ``(cid, cid2, lo, last)``."""
     w = Window.partitionBy("w0", "w1")
-    of = F.when(~F.col("settled"), F.col("cid"))
-    return rows.withColumn("_many", F.min(of).over(w) != F.max(of).over(w)).filter("settled OR _many").select("cid", "cid2", "lo", "last")
+    settled = kind_of(F.col("tag")) == 1
+    of = F.when(~settled, F.col("cid"))
+    marked = rows.withColumn("_many", F.min(of).over(w) != F.max(of).over(w)).filter(settled | F.col("_many"))
+    return marked.select("cid", name_of(F.col("tag")).alias("cid2"), "lo", F.when(settled, F.col("w1")).otherwise(F.col("lo")).cast("int").alias("last"))
 
 
 def shared_spans(
@@ -335,13 +354,14 @@ def shared_spans(
     if reach < GRAM:
         raise ValueError("length must be at least 100")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    src = src.filter(F.char_length("text") >= length).withColumns({"cid": F.xxhash64("text"), "cid2": F.xxhash64(F.lit(1), "text")})
+    src = src.filter(F.char_length("text") >= length).withColumns({"cid": F.xxhash64("text"), "cid2": name_of(F.xxhash64(F.lit(1), "text"))})
     text = ["cid", "cid2"]
 
     known = durable(compared_chunks(chunk_texts(spread(src), length, reach)))
     whole = known.filter(F.col("kind") == _WHOLE).select(*text, "lo", "last")
     edges = durable(known.filter(F.col("kind") == _EDGE).groupBy(*text).agg(F.collect_list(F.struct("lo", "last")).alias("places")))
-    few = F.broadcast(edges) if edges.count() <= BROADCAST_TEXTS else edges
+    n_texts, n_places = edges.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    few = F.broadcast(edges) if n_texts <= BROADCAST_TEXTS and n_places <= BROADCAST_PLACES else edges
     partly = compared_windows(window_digests(spread(src).select(*text, "text").join(few, text), length))
 
     w = Window.partitionBy(*text).orderBy("s", "e")
