@@ -183,11 +183,14 @@ def _settled_chunks(digest: np.ndarray, around: np.ndarray, text: np.ndarray, lo
     order, start, many = settled((digest,), text)
     group = np.cumsum(np.bincount(start, minlength=len(order))) - 1
     uniform = np.minimum.reduceat(around[order], start) == np.maximum.reduceat(around[order], start)
-    alone = order[~many[group]]
-    first = order[start[many]]
+    # in the order of texts, so that what a text's rows have in common lies together
+    alone = np.sort(order[~many[group]])
+    first = np.sort(order[start[many]])
+    uniform_at = np.empty(len(order), bool)
+    uniform_at[order] = uniform[group]
     rows = [
         (np.full(len(alone), _CHUNK, np.int8), digest[alone], around[alone], text[alone], lo[alone], last[alone]),
-        (np.where(uniform[many], _CHUNK, _MIXED).astype(np.int8), digest[first], around[first], text[first], lo[first], last[first]),
+        (np.where(uniform_at[first], _CHUNK, _MIXED).astype(np.int8), digest[first], around[first], text[first], lo[first], last[first]),
     ]
     for kind, which in ((_WHOLE, uniform), (_EDGE, ~uniform)):
         own = order[(many & which)[group]]
@@ -315,7 +318,7 @@ def window_digests(texts: DataFrame, length: int) -> DataFrame:
         w0, w1, text, at = (np.concatenate([h[i] for h in held]) for i in range(4))
         order, start, many = settled((w1, w0), text)
         group = np.cumsum(np.bincount(start, minlength=len(order))) - 1
-        on = np.concatenate([order[~many[group]], order[start[many]]])
+        on = np.sort(np.concatenate([order[~many[group]], order[start[many]]]))
         t, a, b = joined_windows(*(x[order[many[group]]] for x in (text, at, at)))
         text = np.concatenate([text[on], t])
         tag = hashes[1][text] | np.repeat([0, 1], [len(on), len(t)])
