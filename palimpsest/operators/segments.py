@@ -24,9 +24,10 @@ def layout(blocks: DataFrame, segment: str, order: str, segment_bytes: int | Non
     return placed.withColumn("stored", room)
 
 
-def read_block(stored: DataFrame, segment_id: int, block_no: int, segment: str = "segment_id") -> DataFrame:
-    """One block of a segment: a row, or none out of bounds."""
-    return stored.filter((F.col(segment) == segment_id) & (F.col("block_no") == block_no))
+def read_block(stored: DataFrame, segment_id: int | None, block_no: int, segment: str = "segment_id") -> DataFrame:
+    """One block of a segment, or with None of every one: a row, or none out of bounds."""
+    at = stored.filter(F.col("block_no") == block_no)
+    return at if segment_id is None else at.filter(F.col(segment) == segment_id)
 
 
 def seek(stored: DataFrame, block_no: int, segment: str = "segment_id") -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import kv, space, training
+from palimpsest.plans import kv, space, stores, training
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (kv, space, training)
+_MODULES = (kv, space, stores, training)
 
 QUERIES: dict[str, Query] = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: q for m in _MODULES for k, q in m.ORACLE.items()}

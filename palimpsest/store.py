@@ -350,6 +350,7 @@ class Store:
         gone = [r for r in self._state["replaced"] if r["at"] <= limit]
         for r in gone:
             self._files.delete(r["path"])
+            self._files.delete(f"index/{r['path'][len('runs/') :]}")
         self._state["replaced"] = [r for r in self._state["replaced"] if r["at"] > limit]
 
     def compact(self, keep_history: bool = False, horizon: int | None = None) -> None:
@@ -389,11 +390,24 @@ class Store:
         if self.options.records_per_file:
             writer = writer.option("maxRecordsPerFile", self.options.records_per_file)
         writer.parquet(f"{self.path}/{name}")
+        self._write_index(name)
         self._state["runs"] = [*runs[:first], {"src": src, "path": name, "rows": seen.get["rows"]}, *runs[last:]]
         if place is None:
             self._state["next_src"] = src + 1
         return seen.get["seq"] or 0
 
+    def _write_index(self, name: str) -> None:
+        """Beside a run, of each of its files the namespaces with their first and last key: ``ns, file, first_key, last_key, rows``."""
+        rows = self.spark.read.schema(LOG).parquet(f"{self.path}/{name}").select("ns", "key", F.input_file_name().alias("file"))
+        ends = F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count(F.lit(1)).alias("rows")
+        rows.groupBy("ns", "file").agg(*ends).coalesce(1).write.parquet(f"{self.path}/index/{name[len('runs/') :]}")
+
+    def index(self) -> DataFrame:
+        """The indexes written with the runs: ``ns, file, first_key, last_key, rows``."""
+        names = [f"{self.path}/index/{r['path'][len('runs/') :]}" for r in self._state["runs"]]
+        schema = "ns long, file string, first_key binary, last_key binary, rows long"
+        return self.spark.read.schema(schema).parquet(*names) if names else self.spark.createDataFrame([], schema)
+
     def _commit(self) -> None:
         clock = self.options.clock
         if isinstance(clock, HybridClock):

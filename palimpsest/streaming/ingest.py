@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palimpsest.store import Store
 
@@ -35,26 +32,13 @@ def once_per_version(log: DataFrame, event_time: str, delay: str) -> DataFrame:
 
 
 def latest_updates(log: DataFrame) -> DataFrame:
-    """A stream of a key's newest version whenever it changes: ``(ns, key, ts, seq, value, is_delete)``.
+    """A stream, in update mode, of a key's newest version whenever rows of the key arrive: ``(ns, key, ts, seq, value, is_delete)``.
 
-    The state of a key is its newest ``(ts, seq)``; late rows that are older change nothing.
+    The state of a key is its newest version, kept by Spark's own aggregation; a late row that is older
+    lets the same newest version come out again.
     """
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = tuple(state.get) if state.exists else (-1, -1)
-        out = None
-        for part in parts:
-            row = part.sort_values(["ts", "seq"]).iloc[-1]
-            if (int(row["ts"]), int(row["seq"])) > best:
-                best, out = (int(row["ts"]), int(row["seq"])), row
-        if out is not None:
-            state.update(best)
-            yield pd.DataFrame({"ns": [key[0]], "key": [key[1]], "ts": [best[0]], "seq": [best[1]], "value": [out["value"]], "is_delete": [bool(out["is_delete"])]})
-
-    rows = log.select("ns", "key", "ts", "seq", "value", "is_delete")
-    return rows.groupBy("ns", "key").applyInPandasWithState(
-        step, "ns long, key binary, ts long, seq long, value binary, is_delete boolean", "ts long, seq long", "update", GroupStateTimeout.NoTimeout
-    )
+    newest = F.max(F.struct("ts", "seq", "value", "is_delete")).alias("v")
+    return log.groupBy("ns", "key").agg(newest).select("ns", "key", "v.ts", "v.seq", "v.value", "v.is_delete")
 
 
 def write_rates(log: DataFrame, event_time: str, window: str, delay: str) -> DataFrame:

@@ -108,3 +108,27 @@ def test_index_lookup_and_membership(spark):
     got = {(r["ns"], bytes(r["key"])): r["block_no"] for r in index.lookup(sparse, probes).collect()}
     assert got == {(0, b"000"): None, (0, b"008"): 0, (0, b"0081"): 1, (1, b"z"): 2, (3, b"001"): 2, (9, b"a"): 4}
     assert index.members(probes, log).count() == 3 and index.non_members(probes, log).count() == 3
+
+
+def test_filters_never_miss(spark):
+    from palimpsest.operators import membership
+
+    log = spark.range(20_000).select((F.col("id") % 3).alias("ns"), F.col("id").cast("string").cast("binary").alias("key"))
+    filters = membership.build(log, shards=4)
+    assert filters.count() == 4
+    probes = spark.range(15_000, 60_000).select((F.col("id") % 3).alias("ns"), F.col("id").cast("string").cast("binary").alias("key"))
+    said = membership.may_contain(probes.unionByName(spark.createDataFrame([(1, None)], "ns long, key binary")), filters, shards=4)
+    n, true = said.count(), index.members(said, log).count()
+    assert true == 5000 and (n - true) / 40_000 < 0.02
+    assert membership.may_contain(probes, membership.build(log.limit(0))).count() == 0
+
+
+def test_index_rows_round_trip(spark):
+    rows = [(1, 7, -5, 0, [0, 4096, -1], [(300, 4096), (2**62, 0)]), (2, None, None, 2**63 - 1, None, None), (3, 0, 1, None, [], [(0, 0)])]
+    df = spark.createDataFrame(rows, "row_id long, id long, bloom_filter_seed long, bloom_filter_size long, block_offsets array<long>, ns_offsets array<struct<ns:long,block_offset:long>>")
+    raw = index.encode_index(df)
+    assert {r["row_id"]: len(r["raw"]) for r in raw.collect()} == {1: 56 + 24 + 32, 2: 56, 3: 56 + 16}
+    back = {r["row_id"]: tuple(r)[1:] for r in index.decode_index(raw).collect()}
+    assert back == {n: (i, s, z, b or [], o or [], None) for n, i, s, z, b, o in rows}
+    bad = raw.select("row_id", F.when(F.col("row_id") == 1, F.expr("substring(raw, 1, 60)")).when(F.col("row_id") == 2, F.lit(bytearray(b"x"))).alias("raw"))
+    assert {r["problem"] for r in index.decode_index(bad).collect()} == {"corrupt"}
