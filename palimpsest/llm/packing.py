@@ -34,6 +34,8 @@ PART_BYTES = 64_000_000
 #: Orders tried, and the worst filled blocks whose items are packed anew in each.
 TRIES = 120
 WORST = 64
+#: Up to so many different gaps they are looked through one by one, else all sizes at once; the choice is the same.
+FEW_GAPS = 40
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -46,19 +48,29 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     where = np.empty(len(sizes), dtype=np.int64)
     made = 0
     for i, size in enumerate(sizes.tolist()):
-        # change of the sum when a block of gap g (from `size` to capacity - 1) takes the item
-        change = 1 - 2 * count[size:capacity]
-        after = 2 * count[: capacity - size] + 1
-        after[:1] = 0  # a full block is open no more
-        change = np.where(count[size:capacity] > 0, change + after, np.iinfo(np.int32).max)
-        fresh = 0 if size == capacity else 2 * int(count[capacity - size]) + 1
-        k = int(change.argmin()) if len(change) else -1
-        if k >= 0 and change[k] <= fresh:
-            gap = size + k
+        # change of the sum when a block of gap g takes the item; a full block is open no more
+        best, gap = 2 * len(bins.get(capacity - size, ())) + 1 if size < capacity else 0, capacity
+        if len(bins) < FEW_GAPS:
+            for g, held in bins.items():
+                if g >= size:
+                    change = 1 - 2 * len(held) + (2 * len(bins.get(g - size, ())) + 1 if g > size else 0)
+                    if change < best or change == best and g < gap:
+                        best, gap = change, g
+        else:
+            own = count[size:capacity]
+            after = 2 * count[: capacity - size] + 1
+            after[:1] = 0
+            change = np.where(own > 0, 1 - 2 * own + after, np.iinfo(np.int32).max)
+            k = int(change.argmin()) if len(change) else -1
+            if k >= 0 and change[k] <= best:
+                gap = size + k
+        if gap < capacity:
             b = bins[gap].pop()
             count[gap] -= 1
+            if not bins[gap]:
+                del bins[gap]
         else:
-            gap, b = capacity, made
+            b = made
             made += 1
         gap -= size
         where[i] = b

@@ -26,6 +26,17 @@ def test_bins_are_valid_and_near_the_least(seed):
     assert packing.least_bins(sizes, 100) <= made <= packing.least_bins(sizes, 100) * 1.05 + 1
 
 
+def test_both_ways_through_the_gaps_choose_alike(monkeypatch):
+    rng = np.random.default_rng(9)
+    for n, top in ((300, 100), (2000, 60), (50, 100)):
+        sizes = rng.integers(1, top + 1, n)
+        found = []
+        for few in (0, 10**9):
+            monkeypatch.setattr(packing, "FEW_GAPS", few)
+            found.append(packing.sum_of_squares(sizes, 100))
+        assert (found[0][0] == found[1][0]).all() and found[0][1] == found[1][1]
+
+
 def test_bound_never_exceeds_the_best_packing():
     rng = np.random.default_rng(1)
     for _ in range(60):
