@@ -407,9 +407,9 @@ def reparameterised_members(
     # blocks that share a wording find the same windows
     found = found.groupBy(*keys, "b").agg(F.sum("n").alias("n")).groupBy(keys).agg(F.max("n").alias("n"))
     members = _members(docs, blocks).toDF("w", "p", "m")
-    of_item = found.join(members, ["w", "p"]).select("d", F.col("m").alias("i"), "n")
-    held = found.filter("p IS NULL").select("d", "i", (-F.col("n")).alias("n"))
-    total = of_item.unionByName(held).groupBy("d", "i").agg(F.sum("n").alias("windows")).filter("windows > 0")
+    # windows of an item's very words have no pattern and are taken off; both in one, so that documents are read once
+    per_item = found.join(members, ["w", "p"], "left").select("d", F.coalesce("m", "i").alias("i"), F.when(F.col("p").isNull(), -F.col("n")).otherwise(F.col("n")).alias("n"))
+    total = per_item.groupBy("d", "i").agg(F.sum("n").alias("windows")).filter("windows > 0")
     return total.select(F.col("d").alias(id_col), F.col("i").alias(item_col), "windows")
 
 
