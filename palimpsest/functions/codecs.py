@@ -93,3 +93,18 @@ def run_bytes(key: Column, value: Column) -> Column:
     """What a version takes of a run's limit: its key three times (version, pointer, pointer's
     target), its value, and the pointer's time."""
     return (3 * raw_length(key) + NS_BYTES + F.coalesce(F.octet_length(value), F.lit(0)) + TS_BYTES).cast("long")
+
+
+def le_hex(x: Column) -> Column:
+    """A bigint as upper-case hex of its 8 bytes, little endian."""
+    h = F.lpad(F.hex(x.cast("long")), 16, "0")
+    return F.concat(*(F.substring(h, 15 - 2 * i, 2) for i in range(8)))
+
+
+def le_numbers(hexes: Column, first: Column, n: Column) -> Column:
+    """``n`` numbers of an upper-case hex text from number ``first`` (0-based) on."""
+    def one(i: Column) -> Column:
+        at = (first + i) * 16
+        return F.conv(F.concat(*(hexes.substr((at + 15 - 2 * k).cast("int"), F.lit(2)) for k in range(8))), 16, -10).cast("long")
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), one)).otherwise(F.array().cast("array<bigint>"))

@@ -6,9 +6,10 @@ free ranges rows ``(start, end)``; ends are exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.codecs import le_hex, le_numbers
 from palimpsest.functions.running import gaps, islands
 
 # The page size and the sizes of the store's own regions and records.
@@ -191,3 +192,57 @@ def health(free: DataFrame, extents: DataFrame, capacity: int, metadata_bytes: i
         F.col("average_fragment_size"),
         F.col("small_fragments"),
     )
+
+
+def _record(columns: list[str]) -> Column:
+    return F.unhex(F.concat(*(le_hex(F.coalesce(c, F.lit(0).cast("long"))) for c in columns)))
+
+
+def _fields(raw: str, columns: list[str]) -> list[Column]:
+    whole = F.octet_length(raw) == 8 * len(columns)
+    numbers = le_numbers(F.hex(raw), F.lit(0), F.when(whole, F.lit(len(columns))).otherwise(0))
+    return [F.try_element_at(numbers, F.lit(i + 1)).alias(c) for i, c in enumerate(columns)]
+
+
+_EXTENT_FIELDS = ["key", "range_start", "range_end", "id", "length", "size", "created_at", "modified_at"]
+_RANGE_FIELDS = ["start", "end"]
+
+
+def extent_records(extents: DataFrame) -> DataFrame:
+    """``(id, record)``: extents as the metadata region holds them, 64 bytes each: the id as key, the range, the id again,
+    length, size and times, 8 little-endian bytes each. A null number is 0."""
+    return extents.withColumn("key", F.col("id")).select("id", _record(_EXTENT_FIELDS).alias("record"))
+
+
+def read_extent_records(records: DataFrame, record: str = "record") -> DataFrame:
+    """The extents of :func:`extent_records`; all fields are null for a record of another length."""
+    return records.select(*_fields(record, _EXTENT_FIELDS)).drop("key")
+
+
+def range_records(free: DataFrame) -> DataFrame:
+    """``(start, record)``: free ranges as the metadata region holds them, 16 bytes each."""
+    return free.select("start", _record(_RANGE_FIELDS).alias("record"))
+
+
+def read_range_records(records: DataFrame, record: str = "record") -> DataFrame:
+    """The free ranges of :func:`range_records`."""
+    return records.select(*_fields(record, _RANGE_FIELDS))
+
+
+def metadata_growth(free: DataFrame, extents: DataFrame, data_start: int, metadata_bytes: int = METADATA_BYTES) -> DataFrame:
+    """One row on writing the metadata: ``(needed, metadata_bytes, growth, outcome)``.
+
+    Metadata that outgrow their region get one of twice their size, taken from the free range at the start
+    of the data. ``outcome`` is 'fits', 'grows', 'insufficient space' if that range is too small, or 'no
+    adjacent space' if there is none there; ``growth`` is 0 unless it grows.
+    """
+    one = F.lit(1).alias("_one")
+    ranges = free.agg(F.count("*").alias("ranges"), F.max(F.when(F.col("start") == data_start, F.col("end") - F.col("start"))).alias("beside"))
+    rows = ranges.select("*", one).join(extents.agg(F.count("*").alias("extents")).select("*", one), "_one")
+    need = (COUNT_BYTES + EXTENT_RECORD_BYTES * F.col("extents") + COUNT_BYTES + RANGE_RECORD_BYTES * F.col("ranges")).cast("long")
+    more = 2 * need - metadata_bytes
+    outcome = (
+        F.when(need <= metadata_bytes, "fits").when(F.col("beside").isNull(), "no adjacent space").when(F.col("beside") >= more, "grows").otherwise("insufficient space")
+    )
+    grown = F.when(outcome == "grows", more).otherwise(0).cast("long")
+    return rows.select(need.alias("needed"), (F.lit(metadata_bytes) + grown).cast("long").alias("metadata_bytes"), grown.alias("growth"), outcome.alias("outcome"))

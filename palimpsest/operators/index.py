@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.codecs import le_hex, le_numbers
 from palimpsest.functions.numbering import greatest_so_far, with_position
 from palimpsest.model import IDENTITY, total_order
 
@@ -81,20 +82,6 @@ def stored_index_checks(segment_index: DataFrame) -> DataFrame:
 HEAD_NUMBERS = 7
 
 
-def _le(x: Column) -> Column:
-    h = F.lpad(F.hex(x.cast("long")), 16, "0")
-    return F.concat(*(F.substring(h, 15 - 2 * i, 2) for i in range(8)))
-
-
-def _numbers(hexes: Column, first: Column, n: Column) -> Column:
-    """``n`` numbers of an upper-case hex text from number ``first`` (0-based) on."""
-    def one(i: Column) -> Column:
-        at = (first + i) * 16
-        return F.conv(F.concat(*(hexes.substr((at + 15 - 2 * k).cast("int"), F.lit(2)) for k in range(8))), 16, -10).cast("long")
-
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), one)).otherwise(F.array().cast("array<bigint>"))
-
-
 def encode_index(segment_index: DataFrame) -> DataFrame:
     """``(row_id, raw)``: stored index rows in their byte form. The numbers of entries are those that the row has,
     whatever it states. Null lists count as empty; a null within them is 0."""
@@ -105,9 +92,9 @@ def encode_index(segment_index: DataFrame) -> DataFrame:
     mask = sum((F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(head)), F.lit(0))
     rows = segment_index.select("row_id", *head, ns_offsets.alias("o"), blocks.alias("b"), mask.alias("mask"))
     numbers = [*(F.coalesce(c, zero) for c in head), zero, F.size("o"), F.size("b"), F.col("mask")]
-    entries = F.transform("o", lambda e: F.concat(_le(F.coalesce(e["ns"], zero)), _le(F.coalesce(e["block_offset"], zero))))
-    offsets = F.transform("b", lambda x: _le(F.coalesce(x, zero)))
-    return rows.select("row_id", F.unhex(F.concat(*map(_le, numbers), F.array_join(offsets, ""), F.array_join(entries, ""))).alias("raw"))
+    entries = F.transform("o", lambda e: F.concat(le_hex(F.coalesce(e["ns"], zero)), le_hex(F.coalesce(e["block_offset"], zero))))
+    offsets = F.transform("b", lambda x: le_hex(F.coalesce(x, zero)))
+    return rows.select("row_id", F.unhex(F.concat(*map(le_hex, numbers), F.array_join(offsets, ""), F.array_join(entries, ""))).alias("raw"))
 
 
 def decode_index(encoded: DataFrame, raw: str = "raw") -> DataFrame:
@@ -115,12 +102,12 @@ def decode_index(encoded: DataFrame, raw: str = "raw") -> DataFrame:
     ``problem`` is 'corrupt' and the rest null where the length is not what the numbers say."""
     rows = encoded.select("row_id", F.hex(raw).alias("h"), F.octet_length(raw).alias("n"))
     at = lambda i: F.try_element_at(F.col("head"), F.lit(i + 1))
-    rows = rows.withColumn("head", _numbers(F.col("h"), F.lit(0), F.when(F.col("n") >= 8 * HEAD_NUMBERS, HEAD_NUMBERS).otherwise(0)))
+    rows = rows.withColumn("head", le_numbers(F.col("h"), F.lit(0), F.when(F.col("n") >= 8 * HEAD_NUMBERS, HEAD_NUMBERS).otherwise(0)))
     whole = F.coalesce((at(4) >= 0) & (at(5) >= 0) & (F.col("n") == 8 * (HEAD_NUMBERS + at(5) + 2 * at(4))), F.lit(False))
     rows = rows.withColumn("ok", whole)
     held = lambda i, bit: F.when(F.col("ok") & (at(6).bitwiseAND(1 << bit) == 0), at(i))
-    blocks = F.when(F.col("ok"), _numbers(F.col("h"), F.lit(HEAD_NUMBERS), at(5)))
-    flat = _numbers(F.col("h"), HEAD_NUMBERS + at(5), 2 * at(4))
+    blocks = F.when(F.col("ok"), le_numbers(F.col("h"), F.lit(HEAD_NUMBERS), at(5)))
+    flat = le_numbers(F.col("h"), HEAD_NUMBERS + at(5), 2 * at(4))
     pairs = F.when(at(4) > 0, F.transform(F.sequence(F.lit(0), (at(4) - 1).cast("int")), lambda i: F.struct(F.element_at("flat", (2 * i + 1).cast("int")).alias("ns"), F.element_at("flat", (2 * i + 2).cast("int")).alias("block_offset"))))
     none = F.expr("cast(array() as array<struct<ns:bigint,block_offset:bigint>>)")
     return rows.withColumn("flat", F.when(F.col("ok"), flat)).select(

@@ -118,6 +118,20 @@ def fs_health(spark, folder):
     return extents.health(_free(spark, folder), _extents(spark, folder), CAPACITY - DATA_START)
 
 
+def extent_records(spark, folder):
+    """Extents to their records and back."""
+    return extents.read_extent_records(extents.extent_records(_extents(spark, folder)))
+
+
+def range_records(spark, folder):
+    """Free ranges to their records and back."""
+    return extents.read_range_records(extents.range_records(_free(spark, folder)))
+
+
+def metadata_growth(spark, folder):
+    return extents.metadata_growth(_free(spark, folder), _extents(spark, folder), DATA_START)
+
+
 def journal_entry_size(spark, folder):
     return journal.entry_sizes(_journal(spark, folder))
 
@@ -215,7 +229,7 @@ QUERIES = {
     for f in (
         current_extents, free_ranges, free_total, used_total, frag_stats, can_allocate, alloc_classify, rightmost_fit, after_allocation,
         coalesce_ranges, delete_extents, compaction_trigger, compaction_candidates, compaction_candidates_all, dirty_pages,
-        consolidate_pages, write_ranges, fs_health, journal_entry_size, journal_text, journal_retention, journal_replay, journal_free,
+        consolidate_pages, write_ranges, fs_health, extent_records, range_records, metadata_growth, journal_entry_size, journal_text, journal_retention, journal_replay, journal_free,
         journal_next_id, journal_drift, block_chunking, block_packing, block_stats, block_entries, block_entry_at, block_offsets,
         block_pages, segment_layout, segment_seek, segment_remaining, segment_stats,
         stored_index_checks,
@@ -321,6 +335,15 @@ ORACLE = {
         CASE WHEN total_free_space > 0 THEN round(100 * (1 - largest_free_block / total_free_space), 6) ELSE 0 END AS fragmentation_percent,
         {CAPACITY - DATA_START}::BIGINT AS total_size, CAST(used AS BIGINT) AS used_space, total_free_space AS free_space,
         16 + 64 * c + 16 * free_range_count AS metadata_size, free_range_count, largest_free_block, average_fragment_size, small_fragments FROM q, a""",
+    "extent_records": _X
+    + """ SELECT id, coalesce(range_start, 0) AS range_start, coalesce(range_end, 0) AS range_end, length, coalesce(size, 0) AS size,
+      coalesce(created_at, 0) AS created_at, coalesce(modified_at, 0) AS modified_at FROM x""",
+    "range_records": _FREE + ' SELECT s AS "start", e AS "end" FROM f',
+    "metadata_growth": _FREE
+    + f""", q AS (SELECT 16 + 64 * (SELECT count(*) FROM x) + 16 * count(*) AS needed, max(e - s) FILTER (s = {DATA_START}) AS beside FROM f),
+      o AS (SELECT needed, 2 * needed - 4096 AS more, CASE WHEN needed <= 4096 THEN 'fits' WHEN beside IS NULL THEN 'no adjacent space'
+        WHEN beside >= 2 * needed - 4096 THEN 'grows' ELSE 'insufficient space' END AS outcome FROM q)
+      SELECT needed, 4096 + CASE WHEN outcome = 'grows' THEN more ELSE 0 END AS metadata_bytes, CASE WHEN outcome = 'grows' THEN more ELSE 0 END AS growth, outcome FROM o""",
     "journal_entry_size": f"SELECT seq, entry_type, CAST({_SIZE} AS BIGINT) AS bytes FROM journal",
     "journal_text": """SELECT seq, entry_type, entry_time, frange_id, metadata.range_start AS range_start, metadata.modified_at AS modified_at,
       CAST(len(free_ranges) AS INTEGER) AS ranges FROM journal""",

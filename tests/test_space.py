@@ -164,3 +164,23 @@ def test_entries_as_text(spark):
     assert sorted(back.drop("problem").collect()) == sorted(df.collect())
     assert {r["seq"]: r["problem"] for r in back.collect()} == {1: None, 2: None, 3: "invalid entry type"}
     assert journal.decode_entries(spark.createDataFrame([("{",), (None,)], "entry string")).select("problem").distinct().collect()[0][0] == "entry too short"
+
+
+def test_metadata_grow_into_the_range_beside_them(spark):
+    ext = spark.createDataFrame([(i, 0, 10, 1, 10, 0, 0) for i in range(100)], "id long, range_start long, range_end long, length long, size long, created_at long, modified_at long")
+    need = 16 + 64 * 100 + 16
+    grown = lambda rows, n=100: tuple(extents.metadata_growth(spark.createDataFrame(rows, RANGES), ext.filter(f"id < {n}"), 50).first())
+    assert grown([(50, 90)], 3) == (16 + 64 * 3 + 16, 4096, 0, "fits")
+    assert grown([(50, 50 + 2 * need - 4096)]) == (need, 2 * need, 2 * need - 4096, "grows")
+    assert grown([(50, 60)]) == (need, 4096, 0, "insufficient space")
+    assert grown([(51, 10**9)]) == (need, 4096, 0, "no adjacent space")
+
+
+def test_records_have_their_fixed_sizes(spark):
+    ext = spark.createDataFrame([(7, 1, 2**40, 3, 4, 5, 6), (8, 0, 1, None, 1, 0, 0)], "id long, range_start long, range_end long, length long, size long, created_at long, modified_at long")
+    raw = extents.extent_records(ext)
+    assert {len(r["record"]) for r in raw.collect()} == {64}
+    assert bytes(raw.filter("id = 7").first()["record"]) == b"".join(x.to_bytes(8, "little") for x in (7, 1, 2**40, 7, 3, 4, 5, 6))
+    assert sorted(tuple(r) for r in extents.read_extent_records(raw).collect()) == [(1, 2**40, 7, 3, 4, 5, 6), (0, 1, 8, 0, 1, 0, 0)][::-1]
+    assert tuple(extents.read_range_records(spark.createDataFrame([(bytearray(b"short"),)], "record binary")).first()) == (None, None)
+    assert len(extents.range_records(spark.createDataFrame([(1, 2)], RANGES)).first()["record"]) == 16
