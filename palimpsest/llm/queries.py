@@ -100,6 +100,26 @@ s AS (
   FROM b GROUP BY ns, key, us)
 """
 )
+# Learned precedence as :func:`palimpsest.llm.survivors.precedence` defines it, where no majorities form a circle.
+_LEARNED = (
+    _VERSIONS.replace("WITH tab AS", "WITH RECURSIVE tab AS", 1).rstrip()
+    + f""",
+d AS (SELECT *, nullif(lower(regexp_extract(CAST(val AS VARCHAR), '^([A-Za-z]+):', 1)), '') AS k FROM b),
+f AS (SELECT ns, key, us, k, min(arrived_at) AS t FROM d WHERE arrived_at IS NOT NULL AND k IS NOT NULL GROUP BY ALL),
+g AS (SELECT lag(k) OVER w AS before, lag(t) OVER w AS tb, k AS after, t FROM f WINDOW w AS (PARTITION BY ns, key, us ORDER BY t, k)),
+n AS (SELECT before, after, count(*) AS n FROM g WHERE before IS NOT NULL AND tb < t GROUP BY ALL),
+m AS (SELECT a.before, a.after, a.n, coalesce(r.n, 0) AS m FROM n a LEFT JOIN n r ON r.before = a.after AND r.after = a.before),
+e AS (SELECT before, after FROM m WHERE n >= {survivors.MIN_SUPPORT} AND n > m AND n >= {survivors.MIN_SHARE} * (n + m) AND n - m >= {survivors.MIN_SIGMAS} * sqrt(n + m)),
+o AS (SELECT before, after FROM e UNION SELECT o.before, e.after FROM o JOIN e ON e.before = o.after),
+timed AS (SELECT ns, key, us, seq, q, k FROM d WHERE arrived_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ns, key, us ORDER BY q DESC, arrived_at DESC, seq DESC) = 1),
+bare AS (SELECT ns, key, us, seq, q, k FROM d WHERE arrived_at IS NULL QUALIFY row_number() OVER (PARTITION BY ns, key, us, k ORDER BY q DESC, seq DESC) = 1),
+best AS (SELECT * FROM bare QUALIFY q = max(q) OVER (PARTITION BY ns, key, us)),
+after AS (SELECT b.* FROM best b JOIN timed t USING (ns, key, us) WHERE b.q = t.q AND (t.k, b.k) IN (SELECT (before, after) FROM o)),
+pool AS (SELECT *, true AS preceded FROM after UNION ALL SELECT *, false FROM best WHERE (ns, key, us) NOT IN (SELECT (ns, key, us) FROM after)),
+newest AS (SELECT ns, key, us, max(seq) AS seq, any_value(q) AS q, any_value(preceded) AS preceded FROM pool p
+  WHERE NOT EXISTS (SELECT 1 FROM pool x JOIN o ON o.before = p.k AND o.after = x.k WHERE x.ns = p.ns AND x.key = p.key AND x.us = p.us) GROUP BY ns, key, us)
+"""
+)
 _SPANS = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300),
 w AS (SELECT r, i, hash(substr(text, CAST(i + 1 AS BIGINT), 300)) AS h FROM (SELECT r, text, unnest(range(n - 299)) AS i FROM d)),
@@ -115,6 +135,10 @@ ORACLE: dict[str, str] = {
     "p1_records": _VERSIONS
     + """SELECT s.first_seq, s.n_rows, s.ns, s.key, s.us, hex(v.val) AS val, w.writer
 FROM s JOIN b v ON v.seq = s.val_seq LEFT JOIN b w ON w.seq = s.writer_seq""",
+    "p1_currency": _LEARNED
+    + """SELECT s.first_seq, s.n_rows, CASE WHEN coalesce(w.preceded, false) OR t.seq IS NULL OR coalesce(w.q > t.q, false) THEN w.seq ELSE t.seq END AS val_seq,
+  CASE WHEN coalesce(w.preceded, false) THEN 'precedence' ELSE 'order' END AS val_by, s.writer_seq, 'order' AS writer_by
+FROM s LEFT JOIN timed t USING (ns, key, us) LEFT JOIN newest w USING (ns, key, us) WHERE s.n_rows > 1""",
     "p8_found": _SPANS + "SELECT doc_id, span_start, span_end FROM p",
     "p8_share": _SPANS
     + """SELECT doc_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS shared_chars

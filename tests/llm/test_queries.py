@@ -1,4 +1,7 @@
+import datetime as dt
+import random
 import sys
+import zlib
 from pathlib import Path
 
 import pytest
@@ -31,3 +34,26 @@ def test_found_columns(spark, data):
         "p8_found": [("doc_id", "bigint"), ("span_start", "bigint"), ("span_end", "bigint")],
     }
     assert {n: QUERIES[n](spark, data).dtypes for n in want} == want
+
+
+def test_learned_precedence_equals_its_sql_where_it_decides(spark, tmp_path):
+    """Two chains of states that nothing joins; a third of the versions lack the time of a row, and values repeat."""
+    rng = random.Random(4)
+    chains, rows, seq = (["draft", "open", "paid", "sent"], ["ask", "bid", "sold"]), [], 0
+    for v in range(400):
+        chain = chains[v % 2]
+        start = rng.randrange(len(chain) - 1)
+        states = chain[start : start + rng.randrange(2, 4)] + ([rng.choice(chains[1 - v % 2])] if v % 7 == 0 else []) + ([None] if v % 11 == 0 else [])
+        bare = {rng.randrange(len(states)) for _ in range(rng.randrange(3))} if v % 3 == 0 else set()
+        numbers = rng.sample(range(seq, seq + 20), len(states))
+        seq += 20
+        for i, (k, n) in enumerate(zip(states, numbers)):
+            val = None if k is None else bytearray(f"{k}:{v}".encode())
+            crc = None if val is None or rng.random() < 0.1 else zlib.crc32(val)
+            rows.append((n, 0, bytearray(b"k%d" % v), 1000 + v, val, crc, False, 0, "w", None if i in bare else dt.datetime(2025, 1, 1) + dt.timedelta(seconds=i)))
+    schema = "seq long, ns long, key binary, ts long, val binary, val_crc long, is_delete boolean, src int, writer string, arrived_at timestamp_ntz"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "v"))
+    next((tmp_path / "v").glob("*.parquet")).rename(tmp_path / "version_log.parquet")
+    got = of_spark(QUERIES["p1_currency"](spark, str(tmp_path)))
+    assert got == of_duckdb(ORACLE["p1_currency"], tmp_path)
+    assert sum("precedence" in r for r in got[1]) > 20
