@@ -65,6 +65,9 @@ def stored_index_checks(segment_index: DataFrame) -> DataFrame:
     blocks = F.coalesce("block_offsets", F.expr("cast(array() as array<bigint>)"))
     rows = segment_index.select("row_id", "ns_offset_size", "block_offset_size", ns_offsets.alias("o"), blocks.alias("b"))
     names = F.transform("o", lambda e: e["ns"])
+    # by hash; only what is left is looked for entry by entry
+    unlisted = F.array_except(F.transform("o", lambda e: e["block_offset"]), F.col("b"))
+    rows = rows.withColumn("u", unlisted)
     return rows.select(
         "row_id",
         F.size("o").alias("entries"),
@@ -72,7 +75,7 @@ def stored_index_checks(segment_index: DataFrame) -> DataFrame:
         F.size("b").alias("blocks"),
         ((F.col("ns_offset_size") == F.size("o")) & (F.col("block_offset_size") == F.size("b"))).alias("size_ok"),
         (F.array_sort(names) == names).alias("ascending"),
-        F.size(F.filter("o", lambda e: ~F.array_contains(F.col("b"), e["block_offset"]))).alias("dangling"),
+        F.size(F.filter("o", lambda e: F.array_contains(F.col("u"), e["block_offset"]))).alias("dangling"),
     )
 
 
