@@ -117,17 +117,17 @@ def best_packing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
         fill = np.bincount(where, weights=sizes, minlength=made)
         # a little chance picks other bins among those that are filled alike
         worst = np.argsort(fill + rng.uniform(0, capacity * t / TRIES / 8, made), kind="stable")[:WORST]
-        again = np.flatnonzero(np.isin(where, worst))
+        chosen = np.zeros(made, bool)
+        chosen[worst] = True
+        again = np.flatnonzero(chosen[where])
         own = sizes[again]
         least = 1 - t / TRIES
         new, n = _ordered(own, capacity, np.argsort(-own * rng.uniform(least, 1, len(own)), kind="stable"))
         if n <= len(worst):
-            left = np.setdiff1d(np.arange(made), worst)
-            number = np.full(made, -1, dtype=np.int64)
-            number[left] = np.arange(len(left))
-            where = number[where]
-            where[again] = new + len(left)
-            made = len(left) + n
+            kept = made - len(worst)
+            where = (np.cumsum(~chosen) - 1)[where]
+            where[again] = new + kept
+            made = kept + n
     return where, made
 
 
