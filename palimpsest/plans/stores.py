@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.extent_store import CompactionConfig, ExtentStore
@@ -16,6 +16,7 @@ from palimpsest.session import shared_folder
 from palimpsest.sources.logs import from_events, from_version_log
 from palimpsest.sources.tables import table
 from palimpsest.store import Store, StoreOptions
+from palimpsest.streaming.ingest import ingest, latest_updates
 
 # Parameters of the queries below; the SQL is made from the same values.
 MAX_RUNS = 3
@@ -85,6 +86,30 @@ def store_verbs(spark, folder):
     return rows.select("ns", F.col("key").cast("string").alias("key"), F.col("t.is_delete").alias("deleted"), F.col("t.value").cast("string").alias("value"), "versions")
 
 
+def _event_stream(spark: SparkSession, folder: str):
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    # a pattern, since a stream takes no single file by its name
+    return from_events(spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]"))
+
+
+def stream_ingest(spark, folder):
+    """The live keys of a store that took the events as a stream."""
+    place = _place(spark)
+    store = Store(spark, place)
+    ingest(_event_stream(spark, folder), store, f"{place}-stream", available_now=True).awaitTermination()
+    return kv._text(store.live())
+
+
+def stream_latest(spark, folder):
+    """The newest version of every key, as the running view of a stream leaves it."""
+    place = _place(spark)
+    rows = latest_updates(_event_stream(spark, folder))
+    keep = lambda batch, number: batch.write.mode("append").parquet(f"{place}/{number}")
+    rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{place}-stream").trigger(availableNow=True).start().awaitTermination()
+    updates = spark.read.parquet(f"{place}/*").groupBy("ns", "key").agg(F.max(F.struct("ts", "seq", "is_delete", "value")).alias("v"))
+    return kv._text(updates.select("ns", "key", "v.ts", "v.value", "v.is_delete", "v.seq"), "is_delete", "seq")
+
+
 def _extent_store(spark: SparkSession, folder: str) -> ExtentStore:
     """An extent for every nation, some bytes in those of one region, another region's deleted, opened again."""
     place = _place(spark)
@@ -178,7 +203,7 @@ def block_splits(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        store_synced, store_as_of, store_horizon, store_index, store_verbs, extent_store_state, extent_store_replay, extent_store_compacted, codec_storage,
+        store_synced, store_as_of, store_horizon, store_index, store_verbs, stream_ingest, stream_latest, extent_store_state, extent_store_replay, extent_store_compacted, codec_storage,
         index_round_trip, bloom_probe, bloom_errors, segment_block, block_splits,
     )
 }
@@ -202,6 +227,8 @@ a AS (SELECT r AS ns, key, 1 AS o, false AS gone, 'first' AS value FROM n UNION
   UNION ALL SELECT r, key, 10, false, 'second' FROM n WHERE i % 2 = 1 UNION ALL SELECT r, key, 20, true, NULL FROM n WHERE i % 3 = 0
   UNION ALL SELECT 0, key, 30, true, NULL FROM n WHERE i % 5 = 0 UNION ALL SELECT 0, key, 40, false, 'again' FROM n WHERE i % 7 = 0)
 SELECT ns, key, arg_max(gone, o) AS deleted, last(value ORDER BY o) AS value, count(*) AS versions FROM a GROUP BY ns, key""",
+    "stream_ingest": kv._E + f"SELECT ns, key, ts, value FROM ({kv._LIVE})",
+    "stream_latest": kv.ORACLE["latest_all"],
     "extent_store_state": _EXTENTS + "SELECT id, range_start::BIGINT AS range_start, (range_start + size)::BIGINT AS range_end, length, size FROM x WHERE region <> 2",
     "extent_store_replay": _EXTENTS + "SELECT id, range_start::BIGINT AS range_start, (range_start + size)::BIGINT AS range_end, length, size FROM x WHERE region <> 2",
     "extent_store_compacted": _EXTENTS + "SELECT id, length, greatest(length, 1)::BIGINT AS size, true AS space_accounting_valid FROM x WHERE region <> 2",

@@ -280,3 +280,15 @@ def test_caching_follows_the_runs(spark, tmp_path):
     s.sync()
     assert s.get(b"a") == b"2"
     s.close()
+
+
+def test_rates_of_a_stream_per_window(spark, tmp_path):
+    rows = [(1, False, s) for s in (0, 10, 70)] + [(1, True, 20), (2, False, 5), (1, False, 5000)]
+    df = spark.createDataFrame(rows, "ns long, is_delete boolean, s long").select("ns", "is_delete", F.timestamp_seconds("s").alias("at"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    rates = ingest.write_rates(stream, "at", "1 minute", "10 seconds")
+    q = rates.writeStream.format("memory").queryName("rates").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = {(r["ns"], r["start"].minute): (r["puts"], r["deletes"]) for r in spark.table("rates").collect() if r["start"].hour == 0}
+    assert got[(1, 0)] == (2, 1) and got[(2, 0)] == (1, 0) and got[(1, 1)] == (1, 0)
