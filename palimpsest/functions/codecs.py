@@ -101,10 +101,10 @@ def le_hex(x: Column) -> Column:
     return F.concat(*(F.substring(h, 15 - 2 * i, 2) for i in range(8)))
 
 
-def le_numbers(hexes: Column, first: Column, n: Column) -> Column:
-    """``n`` numbers of an upper-case hex text from number ``first`` (0-based) on."""
+def le_numbers(raw: Column, first: Column, n: Column) -> Column:
+    """``n`` little-endian numbers of 8 bytes of a binary from number ``first`` (0-based) on."""
     def one(i: Column) -> Column:
-        at = (first + i) * 16
-        return F.conv(F.concat(*(hexes.substr((at + 15 - 2 * k).cast("int"), F.lit(2)) for k in range(8))), 16, -10).cast("long")
+        h = F.hex(raw.substr(((first + i) * 8 + 1).cast("int"), F.lit(8)))
+        return F.conv(F.concat(*(F.substring(h, 15 - 2 * k, 2) for k in range(8))), 16, -10).cast("long")
 
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), one)).otherwise(F.array().cast("array<bigint>"))

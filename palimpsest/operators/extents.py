@@ -200,7 +200,7 @@ def _record(columns: list[str]) -> Column:
 
 def _fields(raw: str, columns: list[str]) -> list[Column]:
     whole = F.octet_length(raw) == 8 * len(columns)
-    numbers = le_numbers(F.hex(raw), F.lit(0), F.when(whole, F.lit(len(columns))).otherwise(0))
+    numbers = le_numbers(F.col(raw), F.lit(0), F.when(whole, F.lit(len(columns))).otherwise(0))
     return [F.try_element_at(numbers, F.lit(i + 1)).alias(c) for i, c in enumerate(columns)]
 
 

@@ -103,7 +103,7 @@ def encode_index(segment_index: DataFrame) -> DataFrame:
 def decode_index(encoded: DataFrame, raw: str = "raw") -> DataFrame:
     """``(row_id, id, bloom_filter_seed, bloom_filter_size, block_offsets, ns_offsets, problem)`` of :func:`encode_index`;
     ``problem`` is 'corrupt' and the rest null where the length is not what the numbers say."""
-    rows = encoded.select("row_id", F.hex(raw).alias("h"), F.octet_length(raw).alias("n"))
+    rows = encoded.select("row_id", F.col(raw).alias("h"), F.octet_length(raw).alias("n"))
     at = lambda i: F.try_element_at(F.col("head"), F.lit(i + 1))
     rows = rows.withColumn("head", le_numbers(F.col("h"), F.lit(0), F.when(F.col("n") >= 8 * HEAD_NUMBERS, HEAD_NUMBERS).otherwise(0)))
     whole = F.coalesce((at(4) >= 0) & (at(5) >= 0) & (F.col("n") == 8 * (HEAD_NUMBERS + at(5) + 2 * at(4))), F.lit(False))
