@@ -120,9 +120,10 @@ def replay_free(journal: DataFrame, coalesced: bool = True) -> DataFrame:
 
 
 def next_id(journal: DataFrame) -> DataFrame:
-    """One row ``(next_id)``: one more than the largest id that was ever created, 0 without any."""
+    """One row ``(next_id)``: one more than the largest id that was ever created, 0 without any; null
+    after the largest id of a BIGINT, when none is left."""
     made = journal.filter((F.col("entry_type") == CREATE) & F.col("metadata").isNotNull())
-    return made.agg((F.coalesce(F.max("frange_id"), F.lit(-1)) + 1).cast("long").alias("next_id"))
+    return made.agg(F.try_add(F.coalesce(F.max("frange_id"), F.lit(-1).cast("long")), F.lit(1).cast("long")).alias("next_id"))
 
 
 def drift(replayed: DataFrame, stored: DataFrame) -> DataFrame:

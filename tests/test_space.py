@@ -150,6 +150,21 @@ def test_replay_of_an_empty_journal(spark):
     assert journal.retention(df, 100).count() == 0
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_no_id_follows_the_largest(spark, ansi):
+    top = 2**63 - 1
+    rows = [(1, 1, 0, 5, meta(0, 5), None), (2, 1, 0, top - 1, meta(5, 5), None), (3, 1, 0, top, None, None), (4, 2, 0, top, None, None), (5, 1, 0, top, meta(9, 5), None)]
+    df, was = spark.createDataFrame(rows, JOURNAL), spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        # a creation without metadata and a deletion take no id
+        assert [tuple(r) for r in journal.next_id(df.filter("seq < 5")).collect()] == [(top,)]
+        assert [tuple(r) for r in journal.next_id(df).collect()] == [(None,)]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", was)
+    assert journal.next_id(df).dtypes == [("next_id", "bigint")]
+
+
 def test_retention_keeps_the_newest_that_fit(spark):
     rows = [(1, 1, 0, 1, meta(0, 5), None), (2, 4, 0, None, None, [(0, 1)] * 100), (3, 1, 0, 2, meta(5, 5), None), (4, 2, 0, 1, None, None)]
     got = {r["seq"]: (r["bytes"], r["kept"]) for r in journal.retention(spark.createDataFrame(rows, JOURNAL), 140).collect()}
